@@ -11,6 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinegraph.operators import enrich as enrich_ops
 from cinegraph.operators import graph as graph_ops
 from cinegraph.operators import recommend as rec_ops
 from cinegraph.operators import signals as sig_ops
@@ -290,6 +291,111 @@ def q_embedding_docs(spark, sf_dir):
     return embedding_docs(catalog(spark, sf_dir).movies()).select(big("movie_id"), "doc")
 
 
+# ---------------------------------------------------------------- detail and enrichment
+_IDS_SQL = "SELECT p_partkey AS movie_id FROM part WHERE p_partkey < 200"
+
+
+def _ids(spark, sf_dir):
+    """Every movie id of the source list (canonical or not)."""
+    return adapters.ml_movies(spark, sf_dir).select(F.col("movieId").cast("bigint").alias("movie_id"))
+
+
+def _initcap_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
+
+
+def _norm_provider_sql(x: str) -> str:
+    return f"replace(lower({sql_strip(f'coalesce({x}, {chr(39)}{chr(39)})')}), '_', ' ')"
+
+
+_PROVIDER_DIM_SQL = " UNION ALL ".join(
+    f"SELECT '{k}' AS p_key, '{lab}' AS p_label, '{url}' AS p_url" for k, lab, url in __import__(
+        "cinegraph.functions.text", fromlist=["PROVIDER_LINKS"]).PROVIDER_LINKS)
+
+_DETAIL_EXTRA = {
+    "ids": _IDS_SQL,
+    "detail_tags": """
+SELECT movie_id, list(tag ORDER BY r) AS tags FROM (
+  SELECT movie_id, tag, row_number() OVER (PARTITION BY movie_id ORDER BY count DESC, tag) AS r FROM movie_tags)
+WHERE r <= 12 GROUP BY movie_id""",
+    "prov_by_movie": "SELECT movie_id, list_sort(list(provider)) AS providers FROM availability GROUP BY movie_id",
+    "provider_dim": _PROVIDER_DIM_SQL,
+    "watch": f"""
+SELECT movie_id, string_agg(link, ' · ' ORDER BY pos) AS watch FROM (
+  SELECT p.movie_id, p.pos,
+         CASE WHEN d.p_url IS NOT NULL
+              THEN d.p_label || ' <' || d.p_url || replace(url_encode(coalesce(m.title, '')), '%2F', '/') || '>'
+              ELSE {_initcap_sql("replace(p.provider, '_', ' ')")} END AS link
+  FROM (SELECT movie_id, unnest(providers) AS provider, generate_subscripts(providers, 1) AS pos
+        FROM prov_by_movie) p
+  JOIN movies m ON m.movie_id = p.movie_id
+  LEFT JOIN provider_dim d ON d.p_key = {_norm_provider_sql('p.provider')})
+GROUP BY movie_id""",
+}
+
+
+@register("movie_detail", assemble(f"""
+SELECT m.movie_id, m.title, m.year, m.genres, m.director, m.top_cast, m.poster_path,
+       CASE WHEN m.poster_path IS NULL OR m.poster_path IN ('nan', 'None', '')
+            THEN 'https://via.placeholder.com/185x278/1a1a2e/e0e0e0?text=No+Poster'
+            ELSE 'https://image.tmdb.org/t/p/w342' || m.poster_path END AS poster_url,
+       array_to_string(list_filter(list_transform(string_split(replace(coalesce(m.genres, ''), '|', ','), ','),
+                                                  lambda g: {sql_strip('g')}), lambda g: g <> ''), ', ') AS genre_list,
+       array_to_string(coalesce(t.tags, []), ', ') AS tags,
+       array_to_string(coalesce(p.providers, []), ', ') AS providers,
+       coalesce(w.watch, '') AS watch_links,
+       CASE WHEN m.rating_mean <> 0 AND m.rating_count <> 0 THEN '★ ' || format('{{:.2f}}', m.rating_mean) END AS rating_text,
+       CASE WHEN m.rating_mean <> 0 AND m.rating_count <> 0 THEN format('{{:,}}', m.rating_count) || ' ratings' END
+         AS rating_count_text,
+       round(m.rating_mean, 6) AS rating_mean, CAST(m.rating_count AS BIGINT) AS rating_count,
+       round(m.bayesian_avg, 6) AS bayesian_avg
+FROM movies m
+LEFT JOIN detail_tags t ON t.movie_id = m.movie_id
+LEFT JOIN prov_by_movie p ON p.movie_id = m.movie_id
+LEFT JOIN watch w ON w.movie_id = m.movie_id
+WHERE m.movie_id IN (SELECT movie_id FROM ids)""", _DETAIL_EXTRA))
+def q_movie_detail(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    d = enrich_ops.movie_detail(_ids(spark, sf_dir), c.movies(), c.movie_tags(), c.availability())
+    return d.select(big("movie_id"), "title", big("year"), "genres", "director", "top_cast", "poster_path",
+                    "poster_url", "genre_list", "tags", "providers", "watch_links", "rating_text",
+                    "rating_count_text", r6("rating_mean"), big("rating_count"), r6("bayesian_avg"))
+
+
+@register("providers_for", assemble("""
+SELECT CAST(i.movie_id AS BIGINT) AS movie_id, array_to_string(coalesce(p.providers, []), ', ') AS providers,
+       CAST(len(coalesce(p.providers, [])) AS BIGINT) AS n_providers
+FROM (SELECT DISTINCT movie_id FROM ids) i LEFT JOIN prov_by_movie p ON p.movie_id = i.movie_id""", _DETAIL_EXTRA))
+def q_providers_for(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    p = enrich_ops.providers_for(_ids(spark, sf_dir), c.availability())
+    return p.select(big("movie_id"), F.array_join("providers", ", ").alias("providers"),
+                    F.size("providers").cast("bigint").alias("n_providers"))
+
+
+@register("enriched_results", assemble(f"""
+SELECT r.*, array_to_string(coalesce(p.providers, []), ', ') AS providers,
+       array_to_string(list_transform(coalesce(p.providers, []),
+                                      lambda x: {_initcap_sql("replace(x, '_', ' ')")}), ', ') AS provider_labels,
+       CASE WHEN r.poster_path IS NULL OR r.poster_path IN ('nan', 'None', '')
+            THEN 'https://via.placeholder.com/185x278/1a1a2e/e0e0e0?text=No+Poster'
+            ELSE 'https://image.tmdb.org/t/p/w342' || r.poster_path END AS poster_url,
+       array_to_string(list_slice(list_filter(list_transform(string_split(replace(coalesce(r.genres, ''), '|', ','), ','),
+                                                             lambda g: {sql_strip('g')}), lambda g: g <> ''), 1, 3), ', ')
+         AS genre_pills,
+       CASE WHEN coalesce(r.bayesian_avg, 0.0) > 0 THEN '★ ' || format('{{:.1f}}', coalesce(r.bayesian_avg, 0.0)) END
+         AS rating_badge,
+       CAST(CASE WHEN r.explanation IS NOT NULL AND r.explanation <> ''
+                 THEN len(string_split(r.explanation, ' · ')) ELSE 0 END AS BIGINT) AS signal_lines
+FROM recommended r LEFT JOIN prov_by_movie p ON p.movie_id = r.movie_id""",
+                                      {**_DETAIL_EXTRA, "seeds": SEEDS_SQL}, {"VK": LIMIT + 5, "LIMIT": LIMIT}))
+def q_enriched_results(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    rec = rec_ops.recommend(_seeds(spark, sf_dir), limit=LIMIT, seed_ids=list(SEEDS), **c.recommend_inputs())
+    return enrich_ops.enrich_results(rec, c.availability())
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
