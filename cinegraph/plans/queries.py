@@ -18,7 +18,9 @@ from cinegraph.operators import signals as sig_ops
 from cinegraph.operators.availability import availability_long
 from cinegraph.operators.movies import clean_ext_meta
 from cinegraph.operators.ratings import global_constants
+from cinegraph.operators.quality import dq_report
 from cinegraph.operators.search import search
+from cinegraph.operators.subgraph import subgraph_tables
 from cinegraph.operators.vectors import embedding_docs
 from cinegraph.plans.catalog import catalog
 from cinegraph.plans.oracle import assemble
@@ -396,6 +398,111 @@ def q_enriched_results(spark, sf_dir):
     return enrich_ops.enrich_results(rec, c.availability())
 
 
+# ---------------------------------------------------------------- subgraph sample and audit
+_SUBGRAPH_EXTRA = {
+    "sub_good": """
+SELECT movie_id FROM movie_nodes WHERE bayesian_avg >= 3.5 AND movie_id IN (SELECT movie_id FROM has_tag)""",
+    "sub_gm": "SELECT DISTINCT genre, movie_id FROM has_genre WHERE movie_id IN (SELECT movie_id FROM sub_good)",
+    "sub_chosen": """
+SELECT min(genre) AS genre FROM (SELECT genre FROM sub_gm GROUP BY genre HAVING count(*) >= 4)""",
+    "sub_ids0": """
+SELECT movie_id FROM (SELECT movie_id FROM sub_gm WHERE genre = (SELECT genre FROM sub_chosen)
+                      ORDER BY movie_id LIMIT 4)
+UNION ALL
+SELECT movie_id FROM (SELECT DISTINCT movie_id FROM sub_gm ORDER BY movie_id LIMIT 4)
+WHERE (SELECT genre FROM sub_chosen) IS NULL""",
+    "sub_ids": "SELECT movie_id FROM sub_ids0 WHERE (SELECT count(*) FROM sub_ids0) >= 2",
+    "sub_genre_e": """
+SELECT movie_id, genre FROM has_genre WHERE movie_id IN (SELECT movie_id FROM sub_ids)
+ORDER BY movie_id, genre LIMIT 14""",
+    "sub_tag_e": """
+SELECT DISTINCT movie_id, tag FROM (SELECT movie_id, tag FROM has_tag WHERE movie_id IN (SELECT movie_id FROM sub_ids)
+                                    ORDER BY movie_id, tag, count LIMIT 16)""",
+    "sub_on_ids": "SELECT * FROM rated WHERE movie_id IN (SELECT movie_id FROM sub_ids)",
+    "sub_users": """
+SELECT user_id FROM sub_on_ids GROUP BY user_id HAVING count(DISTINCT movie_id) >= 2 ORDER BY user_id LIMIT 10""",
+    "sub_fb_rows": """
+SELECT *, row_number() OVER (ORDER BY user_id, movie_id, rating) AS pos FROM (
+  SELECT user_id, movie_id, rating FROM sub_on_ids WHERE (SELECT count(*) FROM sub_users) = 0
+  ORDER BY user_id, movie_id, rating LIMIT 20)""",
+    "sub_rated_e": """
+SELECT user_id, movie_id, max(rating) AS rating FROM sub_on_ids
+WHERE user_id IN (SELECT user_id FROM sub_users) AND (SELECT count(*) FROM sub_users) > 0
+GROUP BY user_id, movie_id
+UNION ALL
+SELECT user_id, movie_id, max(rating) FROM sub_fb_rows
+WHERE user_id IN (SELECT user_id FROM sub_fb_rows GROUP BY user_id ORDER BY min(pos) LIMIT 10)
+GROUP BY user_id, movie_id""",
+}
+
+
+@register("subgraph_nodes", assemble("""
+SELECT 'Movie' AS node_type, CAST(movie_id AS VARCHAR) AS node_key,
+       substr(CASE WHEN title IS NULL OR title = '' THEN '?' ELSE title END, 1, 30) AS label
+FROM movie_nodes WHERE movie_id IN (SELECT movie_id FROM sub_ids)
+UNION ALL SELECT DISTINCT 'Genre', genre, substr(genre, 1, 12) FROM sub_genre_e
+UNION ALL SELECT DISTINCT 'Tag', tag, substr(tag, 1, 12) FROM sub_tag_e
+UNION ALL SELECT DISTINCT 'User', CAST(user_id AS VARCHAR), 'User ' || user_id FROM sub_rated_e""", _SUBGRAPH_EXTRA))
+def q_subgraph_nodes(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    return subgraph_tables(c.nodes(), c.has_genre(), c.has_tag(), c.rated())[0]
+
+
+@register("subgraph_edges", assemble("""
+SELECT 'HAS_GENRE' AS edge_type, CAST(movie_id AS VARCHAR) AS src, genre AS dst, NULL::DOUBLE AS rating FROM sub_genre_e
+UNION ALL SELECT 'HAS_TAG', CAST(movie_id AS VARCHAR), tag, NULL FROM sub_tag_e
+UNION ALL SELECT 'RATED', CAST(user_id AS VARCHAR), CAST(movie_id AS VARCHAR), rating FROM sub_rated_e""",
+                                     _SUBGRAPH_EXTRA))
+def q_subgraph_edges(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    return subgraph_tables(c.nodes(), c.has_genre(), c.has_tag(), c.rated())[1]
+
+
+VECTOR_DIM = 64   # dimension of the driver's embeddings table
+
+
+def _dq_sql(check, tbl, expr):
+    return f"SELECT '{check}' AS \"check\", '{tbl}' AS tbl, CAST(coalesce(({expr}), 0) AS BIGINT) AS value"
+
+
+def _dup(table, key):
+    return f"SELECT count(*) FROM (SELECT {key} FROM {table} GROUP BY {key} HAVING count(*) > 1)"
+
+
+def _orph(child, parent):
+    return f"SELECT count(*) FROM {child} WHERE movie_id NOT IN (SELECT movie_id FROM {parent})"
+
+
+_DQ_SQL = "\nUNION ALL ".join([
+    _dq_sql("rows", "movies", "SELECT count(*) FROM movies"),
+    _dq_sql("rows", "movie_tags", "SELECT count(*) FROM movie_tags"),
+    _dq_sql("rows", "availability", "SELECT count(*) FROM availability"),
+    _dq_sql("rows", "ratings", "SELECT count(*) FROM ratings_kept"),
+    _dq_sql("rows", "movie_vectors", "SELECT count(*) FROM movie_vectors"),
+    _dq_sql("pk_duplicates", "movies", _dup("movies", "movie_id")),
+    _dq_sql("pk_duplicates", "movie_nodes", _dup("movie_nodes", "movie_id")),
+    _dq_sql("pk_duplicates", "genre_nodes", _dup("(SELECT DISTINCT genre FROM has_genre)", "genre")),
+    _dq_sql("pk_duplicates", "tag_nodes", _dup("(SELECT DISTINCT tag FROM has_tag)", "tag")),
+    _dq_sql("pk_duplicates", "movie_vectors", _dup("movie_vectors", "movie_id")),
+    _dq_sql("fk_orphans", "movie_tags", _orph("movie_tags", "movies")),
+    _dq_sql("fk_orphans", "availability", _orph("availability", "movies")),
+    _dq_sql("fk_orphans", "has_genre", _orph("has_genre", "movie_nodes")),
+    _dq_sql("fk_orphans", "has_tag", _orph("has_tag", "movie_nodes")),
+    _dq_sql("fk_orphans", "rated", _orph("rated", "movie_nodes")),
+    _dq_sql("vector_bad_dim", "movie_vectors", f"SELECT count(*) FROM movie_vectors WHERE len(embedding) <> {VECTOR_DIM}"),
+    _dq_sql("vector_not_unit", "movie_vectors",
+            "SELECT count(*) FROM movie_vectors WHERE abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), "
+            "CAST(embedding AS DOUBLE[]))) - 1.0) >= 1e-5"),
+])
+
+
+@register("dq_report", assemble(_DQ_SQL))
+def q_dq_report(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    return dq_report(c.movies(), c.movie_tags(), c.availability(), c.ratings(), c.nodes(), c.has_genre(),
+                     c.has_tag(), c.rated(), c.vectors(), dim=VECTOR_DIM)
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
