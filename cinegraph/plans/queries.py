@@ -21,7 +21,9 @@ from cinegraph.operators.ratings import global_constants
 from cinegraph.operators.quality import dq_report
 from cinegraph.operators.search import search
 from cinegraph.operators.subgraph import subgraph_tables
-from cinegraph.operators.vectors import embedding_docs
+from cinegraph.operators.vectors import embedding_docs, hashing_encoder
+from cinegraph.operators.knn import knn_exact
+from cinegraph.operators import ann as ann_ops
 from cinegraph.plans.catalog import catalog
 from cinegraph.plans.oracle import assemble
 from cinegraph.plans.oracle import strip as sql_strip
@@ -503,6 +505,48 @@ def q_dq_report(spark, sf_dir):
                      c.has_tag(), c.rated(), c.vectors(), dim=VECTOR_DIM)
 
 
+# ---------------------------------------------------------------- text embedding and ANN (rows-only checks)
+TEXT_DIM = 768     # embedding width of the source application's model
+ANN_K = 10
+
+
+@register("movie_text_vectors")
+def q_movie_text_vectors(spark, sf_dir):
+    """Movie documents embedded by the default (hashing) encoder: contract columns."""
+    v = catalog(spark, sf_dir).text_vectors(TEXT_DIM)
+    from cinegraph.functions.vector import l2_norm
+    return v.select(big("movie_id"), F.size("embedding").cast("bigint").alias("dim"),
+                    F.round(l2_norm("embedding"), 6).alias("norm"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nonzero"), "title")
+
+
+@register("search_by_text")
+def q_search_by_text(spark, sf_dir):
+    """Every benchmark passage used as a natural-language query against the movies."""
+    c = catalog(spark, sf_dir)
+    q = hashing_encoder(adapters.query_texts(spark, sf_dir), "text", dim=TEXT_DIM).select("query_id", "embedding")
+    return search(q, c.text_vectors(TEXT_DIM), limit=LIMIT)
+
+
+@register("ann_recall")
+def q_ann_recall(spark, sf_dir):
+    """IVF search (k-means cells, nprobe of them) against exact search; recall@10 per query.
+    Queries: every vector of the embeddings table."""
+    import math
+    c = catalog(spark, sf_dir)
+    vectors = c.vectors().select("movie_id", "embedding")
+    n = vectors.count()
+    n_cells = max(2, int(round(math.sqrt(n))))
+    nprobe = max(1, n_cells // 2)
+    centers, assigned = ann_ops.build_ivf(vectors, n_cells)
+    queries = adapters.embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    approx = ann_ops.ivf_search(queries, centers, assigned, ANN_K, nprobe)
+    exact = knn_exact(queries, vectors, ANN_K)
+    rec = ann_ops.recall_at_k(approx, exact)
+    return rec.select(big("query_id"), F.round("recall", 6).alias("recall"), big("k"),
+                      F.lit(n_cells).cast("bigint").alias("n_cells"), F.lit(nprobe).cast("bigint").alias("nprobe"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
