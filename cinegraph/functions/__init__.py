@@ -1,0 +1 @@
+"""Native Column expressions (no per-row Python)."""

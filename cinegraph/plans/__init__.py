@@ -1,0 +1 @@
+"""Table catalog, named queries and their DuckDB oracle SQL."""

@@ -4,8 +4,8 @@ The source application's pipeline writes canonical tables that three loaders and
 query paths read again. Here every build output is a Parquet table under the session's
 shared checkpoint folder (``spark.checkpoint.dir``); writing it cuts the lineage, so the
 queries re-read compact tables instead of re-running the joins, and a lost executor
-only re-reads files. Edge tables are range-clustered by movie so that seed lookups skip
-row groups; range partitioning also splits a hot movie across several files.
+only re-reads files. Edge tables are sorted by movie inside each file so that seed
+lookups skip row groups (see ``_LAYOUT``).
 """
 
 from __future__ import annotations
@@ -28,13 +28,16 @@ from cinegraph.sources import adapters
 _LOCK = threading.Lock()
 _CATALOGS: dict[tuple[str, str], "Catalog"] = {}
 
-# Parquet layout: (range-partition columns, sort columns) per table; None = as produced.
+# Parquet layout: sort columns inside each written partition. The sort is local (no
+# extra shuffle): every file holds row groups ordered by movie, so a seed lookup with a
+# pushed-down ``movie_id IN (...)`` reads about one row group per file, and a hot movie
+# stays spread over the files the upstream shuffle produced.
 _LAYOUT = {
-    "ratings": (["movie_id", "user_id"], ["movie_id", "user_id"]),
-    "rated": (["movie_id", "user_id"], ["movie_id", "user_id"]),
-    "fan_edges": (["movie_id", "user_id"], ["movie_id", "user_id"]),
-    "movie_tags": (None, ["movie_id", "tag"]),
-    "has_tag": (None, ["movie_id", "tag"]),
+    "ratings": ["movie_id", "user_id"],
+    "rated": ["movie_id", "user_id"],
+    "fan_edges": ["user_id", "movie_id"],
+    "movie_tags": ["movie_id", "tag"],
+    "has_tag": ["movie_id", "tag"],
 }
 
 
@@ -68,10 +71,8 @@ class Catalog:
 
     def _write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        part_cols, sort_cols = _LAYOUT.get(name, (None, None))
+        sort_cols = _LAYOUT.get(name)
         out = df
-        if part_cols:
-            out = out.repartitionByRange(*part_cols)
         if sort_cols:
             out = out.sortWithinPartitions(*sort_cols)
         out.write.mode("overwrite").parquet(path)
@@ -90,8 +91,13 @@ class Catalog:
     def embeddings(self): return adapters.embeddings(self.spark, self.sf_dir)
 
     # -- batch build outputs -----------------------------------------------------------------
+    def raw_stats(self) -> DataFrame:
+        """Per-movie rating mean and count over every rating (one row per rated movie)."""
+        return self._get("rating_stats", lambda: rating_ops.rating_stats(self.ml_ratings()))
+
     def stats(self) -> DataFrame:
-        return self._get("stats", lambda: rating_ops.bayesian_average(rating_ops.rating_stats(self.ml_ratings())))
+        """raw_stats + bayesian_avg; C and m are scalar subqueries over the small stats table."""
+        return self._get("stats", lambda: rating_ops.bayesian_average(self.raw_stats()))
 
     def movies(self) -> DataFrame:
         return self._get("movies", lambda: movie_ops.build_movies(

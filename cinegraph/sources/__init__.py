@@ -1,0 +1 @@
+"""Inputs and outputs: CSV / Parquet readers, the test-data adapters, table sinks."""

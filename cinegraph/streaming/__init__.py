@@ -1,0 +1,8 @@
+"""Stream processing: intentionally empty.
+
+The source application has no event streams, watermarks, time windows or stateful
+operators ("streaming" there means video-streaming *availability*, which lives in
+``operators/availability.py``). Its table, graph and vector loads are full batch
+rebuilds, re-expressed as the batch catalog in ``plans/catalog.py``; keyed incremental
+merges are in ``sources/sinks.py`` (``upsert``).
+"""
