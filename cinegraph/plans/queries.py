@@ -236,7 +236,7 @@ def q_recommend_many(spark, sf_dir):
     """'Find similar' for every canonical movie at once."""
     c = catalog(spark, sf_dir)
     seeds = c.movies().select(F.col("movie_id").alias("seed_id"))
-    return rec_ops.recommend(seeds, limit=LIMIT, **c.recommend_inputs())
+    return rec_ops.recommend(seeds, limit=LIMIT, seed_ids=None, **c.recommend_inputs())
 
 
 _OVER = max(LIMIT * 5, 80)
