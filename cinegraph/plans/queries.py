@@ -340,7 +340,7 @@ GROUP BY movie_id""",
 
 
 @register("movie_detail", assemble(f"""
-SELECT m.movie_id, m.title, m.year, m.genres, m.director, m.top_cast, m.poster_path,
+SELECT m.movie_id, m.title, CAST(m.year AS BIGINT) AS year, m.genres, m.director, m.top_cast, m.poster_path,
        CASE WHEN m.poster_path IS NULL OR m.poster_path IN ('nan', 'None', '')
             THEN 'https://via.placeholder.com/185x278/1a1a2e/e0e0e0?text=No+Poster'
             ELSE 'https://image.tmdb.org/t/p/w342' || m.poster_path END AS poster_url,
