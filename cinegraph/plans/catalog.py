@@ -23,7 +23,7 @@ from cinegraph.operators import ratings as rating_ops
 from cinegraph.operators import tags as tag_ops
 from cinegraph.operators import vectors as vec_ops
 from cinegraph.session import ensure_checkpoint_dir
-from cinegraph.sources import adapters
+from cinegraph.sources import adapters, readers
 
 _LOCK = threading.Lock()
 _CATALOGS: dict[tuple[str, str], "Catalog"] = {}
@@ -41,13 +41,56 @@ _LAYOUT = {
 }
 
 
+class AdapterInputs:
+    """Raw inputs shaped from the driver's test tables (``sources/adapters.py``)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+
+    def ml_movies(self): return adapters.ml_movies(self.spark, self.sf_dir)
+    def ml_links(self): return adapters.ml_links(self.spark, self.sf_dir)
+    def ml_ratings(self): return adapters.ml_ratings(self.spark, self.sf_dir)
+    def ml_tags(self): return adapters.ml_tags(self.spark, self.sf_dir)
+    def ext_meta(self): return adapters.ext_meta(self.spark, self.sf_dir)
+    def availability_raw(self): return adapters.availability_raw(self.spark, self.sf_dir)
+    def embeddings(self): return adapters.embeddings(self.spark, self.sf_dir)
+
+
+class FileInputs:
+    """Raw inputs read from files: the rating data set's CSVs (movies, links, ratings,
+    tags), the metadata Parquet and the optional wide availability CSV. Without a
+    precomputed (vec_id, embedding) Parquet the movie vectors are embedded from text."""
+
+    def __init__(self, spark: SparkSession, ml_dir: str, ext_meta_path: str,
+                 availability_csv: str | None = None, embeddings_path: str | None = None):
+        self.spark, self.ml_dir = spark, ml_dir.rstrip("/")
+        self.ext_meta_path, self.availability_csv, self.embeddings_path = ext_meta_path, availability_csv, embeddings_path
+
+    def ml_movies(self): return readers.read_ml_movies(self.spark, f"{self.ml_dir}/movies.csv")
+    def ml_links(self): return readers.read_ml_links(self.spark, f"{self.ml_dir}/links.csv")
+    def ml_ratings(self): return readers.read_ml_ratings(self.spark, f"{self.ml_dir}/ratings.csv")
+    def ml_tags(self): return readers.read_ml_tags(self.spark, f"{self.ml_dir}/tags.csv")
+    def ext_meta(self): return readers.read_ext_meta(self.spark, self.ext_meta_path)
+
+    def availability_raw(self):
+        if self.availability_csv is None:
+            return self.spark.createDataFrame([], readers.availability_raw_schema())
+        return readers.read_availability_raw(self.spark, self.availability_csv)
+
+    def embeddings(self):
+        return self.spark.read.parquet(self.embeddings_path) if self.embeddings_path else None
+
+
 class Catalog:
-    """Build outputs for one input folder, built lazily and materialised on first use."""
+    """Build outputs for one input set, built lazily and materialised on first use."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True, root: str | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, materialize: bool = True,
+                 root: str | None = None, inputs=None, text_dim: int = 768):
         self.spark = spark
-        self.sf_dir = sf_dir.rstrip("/")
+        self.sf_dir = sf_dir.rstrip("/") if sf_dir else None
+        self.inputs = inputs if inputs is not None else AdapterInputs(spark, sf_dir)
         self.materialize = materialize
+        self.text_dim = text_dim
         self._root = root
         self._tables: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
@@ -78,17 +121,14 @@ class Catalog:
         out.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def raw(self, name: str) -> DataFrame:
-        return adapters.table(self.spark, self.sf_dir, name)
-
-    # -- raw inputs (adapters) ---------------------------------------------------------------
-    def ml_movies(self): return adapters.ml_movies(self.spark, self.sf_dir)
-    def ml_links(self): return adapters.ml_links(self.spark, self.sf_dir)
-    def ml_ratings(self): return adapters.ml_ratings(self.spark, self.sf_dir)
-    def ml_tags(self): return adapters.ml_tags(self.spark, self.sf_dir)
-    def ext_meta(self): return adapters.ext_meta(self.spark, self.sf_dir)
-    def availability_raw(self): return adapters.availability_raw(self.spark, self.sf_dir)
-    def embeddings(self): return adapters.embeddings(self.spark, self.sf_dir)
+    # -- raw inputs ------------------------------------------------------------------------
+    def ml_movies(self): return self.inputs.ml_movies()
+    def ml_links(self): return self.inputs.ml_links()
+    def ml_ratings(self): return self.inputs.ml_ratings()
+    def ml_tags(self): return self.inputs.ml_tags()
+    def ext_meta(self): return self.inputs.ext_meta()
+    def availability_raw(self): return self.inputs.availability_raw()
+    def embeddings(self): return self.inputs.embeddings()
 
     # -- batch build outputs -----------------------------------------------------------------
     def raw_stats(self) -> DataFrame:
@@ -128,7 +168,11 @@ class Catalog:
         return self._get("fan_edges", lambda: graph_ops.fan_edges(self.rated()))
 
     def vectors(self) -> DataFrame:
-        return self._get("movie_vectors", lambda: vec_ops.vectors_from_table(self.movies(), self.embeddings()))
+        """Movie vectors: precomputed ones when the inputs have them, else embedded text."""
+        emb = self.embeddings()
+        if emb is None:
+            return self.text_vectors(self.text_dim)
+        return self._get("movie_vectors", lambda: vec_ops.vectors_from_table(self.movies(), emb))
 
     def text_vectors(self, dim: int = 768) -> DataFrame:
         return self._get(f"movie_text_vectors_{dim}", lambda: vec_ops.vectors_from_text(self.movies(), dim=dim))
@@ -157,6 +201,13 @@ def catalog(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Catal
         return _CATALOGS[key]
 
 
+def catalog_from_files(spark: SparkSession, ml_dir: str, ext_meta_path: str, availability_csv: str | None = None,
+                       embeddings_path: str | None = None, text_dim: int = 768) -> Catalog:
+    """A catalog over the application's own input files (not memoised)."""
+    return Catalog(spark, inputs=FileInputs(spark, ml_dir, ext_meta_path, availability_csv, embeddings_path),
+                   text_dim=text_dim)
+
+
 def seeds_frame(spark: SparkSession, sf_dir: str, ids=None) -> DataFrame:
     return adapters.seeds(spark, sf_dir, ids)
 
