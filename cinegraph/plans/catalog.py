@@ -93,7 +93,8 @@ class Catalog:
         self.text_dim = text_dim
         self._root = root
         self._tables: dict[str, DataFrame] = {}
-        self._lock = threading.RLock()
+        self._lock = threading.Lock()                     # guards the per-table lock map
+        self._table_locks: dict[str, threading.RLock] = {}
 
     # -- plumbing ------------------------------------------------------------------------
     @property
@@ -104,7 +105,10 @@ class Catalog:
         return self._root
 
     def _get(self, name: str, build) -> DataFrame:
+        """Build ``name`` once; different tables may build concurrently (one lock each)."""
         with self._lock:
+            lock = self._table_locks.setdefault(name, threading.RLock())
+        with lock:
             if name not in self._tables:
                 df = build()
                 if self.materialize:
@@ -177,14 +181,24 @@ class Catalog:
     def text_vectors(self, dim: int = 768) -> DataFrame:
         return self._get(f"movie_text_vectors_{dim}", lambda: vec_ops.vectors_from_text(self.movies(), dim=dim))
 
-    def build_all(self) -> dict[str, int]:
-        """Run the whole batch build; returns row counts per table."""
-        tables = {
-            "movies": self.movies(), "availability": self.availability(), "movie_tags": self.movie_tags(),
-            "ratings": self.ratings(), "movie_nodes": self.nodes(), "has_genre": self.has_genre(),
-            "has_tag": self.has_tag(), "rated": self.rated(), "fan_edges": self.fan_edges(),
-            "movie_vectors": self.vectors(),
+    def build_all(self, parallelism: int = 4) -> dict[str, int]:
+        """Run the whole batch build; returns row counts per table.
+
+        ``movies`` is built first (everything depends on it); the other outputs are
+        independent Spark jobs submitted from a small thread pool, so the scheduler runs
+        them side by side (each table still builds exactly once).
+        """
+        from concurrent.futures import ThreadPoolExecutor
+
+        self.movies()
+        steps = {
+            "availability": self.availability, "movie_tags": self.movie_tags, "ratings": self.ratings,
+            "movie_nodes": self.nodes, "has_genre": self.has_genre, "has_tag": self.has_tag,
+            "rated": self.rated, "fan_edges": self.fan_edges, "movie_vectors": self.vectors,
         }
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            futures = {k: pool.submit(f) for k, f in steps.items()}
+            tables = {"movies": self.movies(), **{k: fut.result() for k, fut in futures.items()}}
         return {k: v.count() for k, v in tables.items()}
 
     def recommend_inputs(self) -> dict:
