@@ -21,7 +21,7 @@ from cinegraph.plans.catalog import catalog  # noqa: E402
 from cinegraph.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "rating_stats", "canonical_movies", "availability", "movie_tags", "graph_counts",
+    "movie_text_vectors", "rating_stats", "canonical_movies", "availability", "movie_tags", "graph_counts",
     "signal_collab", "signal_tags", "signal_genres", "signal_vector",
     "recommend", "recommend_on_provider", "recommend_many",
     "search_by_vector", "search_by_text", "movie_detail", "enriched_results",
@@ -43,6 +43,11 @@ def main() -> None:
                           driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
     timings: dict[str, float] = {}
 
+    # JVM warm-up (class loading, first codegen) is reported, not counted in "value".
+    t0 = time.time()
+    spark.range(100_000).selectExpr("sum(id) AS s").collect()
+    warmup = round(time.time() - t0, 3)
+
     t0 = time.time()
     cat = catalog(spark, sf_dir)
     counts = cat.build_all()
@@ -63,9 +68,12 @@ def main() -> None:
         "queries": timings,
         "sf": sf,
         "cpus": cpus,
+        "jvm_warmup_sec": warmup,
         "rows": counts,
         "rates": {
             "build_ratings_per_sec": round(ratings / timings["build"], 1) if timings["build"] else None,
+            "embed_movies_per_sec": round(counts.get("movie_vectors", 0) / timings["movie_text_vectors"], 1)
+            if timings.get("movie_text_vectors") else None,
             "recommend_many_seeds_per_sec": round(counts.get("movies", 0) / timings["recommend_many"], 2)
             if timings.get("recommend_many") else None,
         },

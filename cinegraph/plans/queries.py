@@ -295,6 +295,19 @@ def q_embedding_docs(spark, sf_dir):
     return embedding_docs(catalog(spark, sf_dir).movies()).select(big("movie_id"), "doc")
 
 
+@register("movie_vectors", assemble("""
+SELECT CAST(movie_id AS BIGINT) AS movie_id, title, CAST(year AS BIGINT) AS year, genres, director, poster_path,
+       round(bayesian_avg, 6) AS bayesian_avg, CAST(len(embedding) AS BIGINT) AS dim,
+       round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm
+FROM movie_vectors"""))
+def q_movie_vectors(spark, sf_dir):
+    """Vector points with their payload (movies with an overview) and the vector contract."""
+    from cinegraph.functions.vector import l2_norm
+    v = catalog(spark, sf_dir).vectors()
+    return v.select(big("movie_id"), "title", big("year"), "genres", "director", "poster_path", r6("bayesian_avg"),
+                    F.size("embedding").cast("bigint").alias("dim"), F.round(l2_norm("embedding"), 6).alias("norm"))
+
+
 # ---------------------------------------------------------------- detail and enrichment
 _IDS_SQL = "SELECT p_partkey AS movie_id FROM part WHERE p_partkey < 200"
 

@@ -107,6 +107,8 @@ def test_fixture_counts_sf0001(small_cat):
     assert c.has_genre().count() == 501
     assert c.rated().count() == 5148
     assert c.vectors().count() == 164
+    per_provider = dict(c.availability().groupBy("provider").count().collect())
+    assert per_provider == {"hulu": 54, "netflix": 93, "prime video": 34}
 
 
 def test_recommend_properties(spark, small_cat, sf_small):
