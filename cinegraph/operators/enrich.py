@@ -68,7 +68,8 @@ def movie_detail(ids: DataFrame, movies: DataFrame, movie_tags: DataFrame,
     has_rating = F.col("rating_mean").isNotNull() & (F.col("rating_mean") != 0) & \
         F.col("rating_count").isNotNull() & (F.col("rating_count") != 0)
     return d.select(
-        "movie_id", "title", "year", "genres", "director", "top_cast", "poster_path",
+        "movie_id", "tmdb_id", "title", "year", "genres", "overview", "tagline", "director", "top_cast",
+        "poster_path", "vote_average", "vote_count",
         poster_url(F.col("poster_path")).alias("poster_url"),
         F.array_join(display_genres(F.col("genres"), None), ", ").alias("genre_list"),
         F.array_join("tags", ", ").alias("tags"),

@@ -353,7 +353,8 @@ GROUP BY movie_id""",
 
 
 @register("movie_detail", assemble(f"""
-SELECT m.movie_id, m.title, CAST(m.year AS BIGINT) AS year, m.genres, m.director, m.top_cast, m.poster_path,
+SELECT m.movie_id, m.tmdb_id, m.title, CAST(m.year AS BIGINT) AS year, m.genres, m.overview, m.tagline, m.director,
+       m.top_cast, m.poster_path, round(m.vote_average, 6) AS vote_average, CAST(m.vote_count AS BIGINT) AS vote_count,
        CASE WHEN m.poster_path IS NULL OR m.poster_path IN ('nan', 'None', '')
             THEN 'https://via.placeholder.com/185x278/1a1a2e/e0e0e0?text=No+Poster'
             ELSE 'https://image.tmdb.org/t/p/w342' || m.poster_path END AS poster_url,
@@ -375,7 +376,8 @@ WHERE m.movie_id IN (SELECT movie_id FROM ids)""", _DETAIL_EXTRA))
 def q_movie_detail(spark, sf_dir):
     c = catalog(spark, sf_dir)
     d = enrich_ops.movie_detail(_ids(spark, sf_dir), c.movies(), c.movie_tags(), c.availability())
-    return d.select(big("movie_id"), "title", big("year"), "genres", "director", "top_cast", "poster_path",
+    return d.select(big("movie_id"), big("tmdb_id"), "title", big("year"), "genres", "overview", "tagline", "director",
+                    "top_cast", "poster_path", r6("vote_average"), big("vote_count"),
                     "poster_url", "genre_list", "tags", "providers", "watch_links", "rating_text",
                     "rating_count_text", r6("rating_mean"), big("rating_count"), r6("bayesian_avg"))
 
