@@ -154,3 +154,21 @@ def test_sinks_first_and_last_wins(spark, tmp_path):
     assert rows(last, "movie_id", "title") == [(1, "b"), (2, "c"), (3, "keep")]
     sinks.write_table(first, str(tmp_path / "movies"), sort_cols=["movie_id"])
     assert spark.read.parquet(str(tmp_path / "movies")).count() == 2
+
+
+def test_t6_year_comes_from_metadata_and_keys_availability(spark):
+    ml = spark.createDataFrame([(1, "Heat (1995)", "Action")], "movieId long, title string, genres string")
+    links = spark.createDataFrame([(1, "tt1", 862.0)], "movieId long, imdbId string, tmdbId double")
+    ext = spark.createDataFrame([("862", "Heat", "1996-02-01")], "id string, title string, release_date string")
+    stats = bayesian_average(rating_stats(ratings_df(spark, [(1, 1, 4.0)])))
+    mv = build_movies(ml, links, clean_ext_meta(ext), stats)
+    assert mv.first().year == 1996
+    raw = spark.createDataFrame([("Heat", "1995", 1), ("Heat", "1996", 1)], "Title string, Year string, Hulu int")
+    got = build_availability(raw, mv)
+    assert rows(got) == [(1, "hulu")] and got.count() == 1
+
+
+def test_t10_blank_tags_dropped_after_ranking(spark):
+    t = spark.createDataFrame([(1, "   ")] * 3 + [(1, "ok")] * 2, "movieId long, tag string")
+    mt = build_tags(t, spark.createDataFrame([(1,)], "movie_id long"))
+    assert rows(mt) == [(1, "ok", 2)]

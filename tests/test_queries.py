@@ -139,3 +139,14 @@ def test_search_by_text_runs(spark, sf_small):
     df = REGISTRY["search_by_text"](spark, sf_small)
     n_q = spark.read.parquet(f"{sf_small}/benchmark.parquet").count()
     assert df.count() == n_q * 20
+
+
+def test_t14_genres_backfilled_only_for_embedded_movies(spark, small_cat):
+    c = small_cat
+    seeds = c.movies().select(F.col("movie_id").alias("seed_id"))
+    out = recommend(seeds, limit=20, **c.recommend_inputs())
+    no_overview = {r.movie_id for r in c.movies().where(F.col("overview").isNull()).collect()}
+    res = out.select("movie_id", "genres").distinct().collect()
+    assert any(r.movie_id in no_overview for r in res)
+    for r in res:
+        assert (r.genres is None) == (r.movie_id in no_overview)
