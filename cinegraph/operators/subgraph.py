@@ -3,7 +3,8 @@
 Picks a few good movies sharing a genre (fallback: any good movies with a genre and a
 tag), then their genre, tag and rating edges. Every cap of the source application is
 kept but made deterministic (ordered by keys). Groups are counted, never collected, and
-the chosen ids are a bounded (<= n_movies) broadcast side.
+the chosen ids (<= n_movies) and overlapping users (<= n_users) are collected once and
+used as literal IN filters, which reach the Parquet scans.
 """
 
 from __future__ import annotations
@@ -39,33 +40,45 @@ def sample_ids(nodes: DataFrame, has_genre: DataFrame, has_tag: DataFrame,
     return ids.where(n_ids >= 2)
 
 
-def sample_edges(ids: DataFrame, has_genre: DataFrame, has_tag: DataFrame, rated: DataFrame,
+def _id_list(ids, col: str, cap: int) -> list:
+    """The (bounded) sampled ids as a Python list, for literal IN filters."""
+    if isinstance(ids, (list, tuple)):
+        return sorted(ids)
+    rows = ids.select(col).limit(cap + 1).collect()
+    if len(rows) > cap:
+        raise ValueError(f"sample larger than its bound {cap}")
+    return sorted(r[0] for r in rows)
+
+
+def sample_edges(ids, has_genre: DataFrame, has_tag: DataFrame, rated: DataFrame,
                  n_users: int = N_USERS, max_genres: int = MAX_GENRE_EDGES, max_tags: int = MAX_TAG_EDGES):
     """(genre_edges, tag_edges, rated_edges) of the sample.
 
-    Rating edges come from users who rated >= 2 sampled movies (first ``n_users`` by id);
-    if there are none, from the first 20 rating rows of any users, capped at
-    ``n_users`` users. One edge per (user, movie): the highest rating.
+    ``ids`` (at most N_MOVIES) become a literal ``movie_id IN (...)`` filter that reaches
+    the edge scans. Rating edges come from users who rated >= 2 sampled movies (first
+    ``n_users`` by id); if there are none, from the first 20 rating rows of any users,
+    capped at ``n_users`` users. One edge per (user, movie): the highest rating.
     """
-    ids_b = F.broadcast(ids)          # at most N_MOVIES rows
-    genre_e = (has_genre.join(ids_b, "movie_id", "left_semi")
-               .orderBy("movie_id", "genre").limit(max_genres))
-    tag_e = (has_tag.join(ids_b, "movie_id", "left_semi")
-             .orderBy("movie_id", "tag", "count").limit(max_tags)
+    ids = _id_list(ids, "movie_id", N_MOVIES)
+    on = F.col("movie_id").isin(ids)
+    genre_e = has_genre.where(on).orderBy("movie_id", "genre").limit(max_genres)
+    tag_e = (has_tag.where(on).orderBy("movie_id", "tag", "count").limit(max_tags)
              .select("movie_id", "tag").distinct())
-    on_ids = rated.join(ids_b, "movie_id", "left_semi")
-    users = (on_ids.groupBy("user_id").agg(F.countDistinct("movie_id").alias("n"))
-             .where(F.col("n") >= 2).select("user_id").orderBy("user_id").limit(n_users))
-    n_over = users.select(F.count(F.lit(1))).scalar()
-    primary = (on_ids.join(F.broadcast(users), "user_id", "left_semi").where(n_over > 0)
-               .groupBy("user_id", "movie_id").agg(F.max("rating").alias("rating")))
-    fb_rows = (on_ids.where(n_over == 0).orderBy("user_id", "movie_id", "rating").limit(n_users * 2)
-               .withColumn("_pos", F.row_number().over(Window.orderBy("user_id", "movie_id", "rating"))))
-    fb_users = (fb_rows.groupBy("user_id").agg(F.min("_pos").alias("_first"))
-                .orderBy("_first").limit(n_users).select("user_id"))
-    fallback = (fb_rows.join(fb_users, "user_id", "left_semi")
-                .groupBy("user_id", "movie_id").agg(F.max("rating").alias("rating")))
-    return genre_e, tag_e, primary.unionByName(fallback)
+    on_ids = rated.where(on)
+    users = _id_list(on_ids.groupBy("user_id").agg(F.countDistinct("movie_id").alias("n"))
+                     .where(F.col("n") >= 2).select("user_id").orderBy("user_id").limit(n_users),
+                     "user_id", n_users)
+    if users:
+        rated_e = (on_ids.where(F.col("user_id").isin(users))
+                   .groupBy("user_id", "movie_id").agg(F.max("rating").alias("rating")))
+    else:
+        fb_rows = (on_ids.orderBy("user_id", "movie_id", "rating").limit(n_users * 2)
+                   .withColumn("_pos", F.row_number().over(Window.orderBy("user_id", "movie_id", "rating"))))
+        fb_users = (fb_rows.groupBy("user_id").agg(F.min("_pos").alias("_first"))
+                    .orderBy("_first").limit(n_users).select("user_id"))
+        rated_e = (fb_rows.join(fb_users, "user_id", "left_semi")
+                   .groupBy("user_id", "movie_id").agg(F.max("rating").alias("rating")))
+    return genre_e, tag_e, rated_e
 
 
 def subgraph_tables(nodes: DataFrame, has_genre: DataFrame, has_tag: DataFrame, rated: DataFrame):
@@ -73,10 +86,10 @@ def subgraph_tables(nodes: DataFrame, has_genre: DataFrame, has_tag: DataFrame,
 
     nodes: node_type, node_key, label.   edges: edge_type, src, dst, rating.
     """
-    ids = sample_ids(nodes, has_genre, has_tag)
+    ids = _id_list(sample_ids(nodes, has_genre, has_tag), "movie_id", N_MOVIES)
     genre_e, tag_e, rated_e = sample_edges(ids, has_genre, has_tag, rated)
     title = F.col("title")
-    movie_n = nodes.join(F.broadcast(ids), "movie_id", "left_semi").select(
+    movie_n = nodes.where(F.col("movie_id").isin(ids)).select(
         F.lit("Movie").alias("node_type"), F.col("movie_id").cast("string").alias("node_key"),
         F.substring(F.when(title.isNull() | (title == ""), F.lit("?")).otherwise(title), 1, TITLE_CHARS)
         .alias("label"))
