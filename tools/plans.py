@@ -35,7 +35,7 @@ def summary(name: str, df) -> str:
         if "Scan parquet" in block.split("\n")[0]:
             keep = [ln for ln in block.split("\n") if ln.startswith(("(", "Location", "PushedFilters", "ReadSchema"))]
             scans.append("\n".join(k for k in keep if not k.startswith("Location")))
-    counts = {k: len(re.findall(rf"(?<![A-Za-z]){k} \(", tree)) for k in
+    counts = {k: len(re.findall(rf"(?<![A-Za-z]){k}(?: [A-Za-z]+)* \(\d+\)", tree)) for k in
               ["Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
                "CartesianProduct", "WindowGroupLimit", "MapInPandas", "BatchEvalPython"]}
     return (f"## {name}\n\n{', '.join(f'{k}: {v}' for k, v in counts.items())}\n\n```\n{tree}\n```\n\n"
