@@ -13,6 +13,8 @@ from cinegraph.functions.text import (
     PROVIDER_LINKS, display_genres, norm_provider, percent_encode, poster_url, provider_label,
 )
 from cinegraph.operators.joins import top_k
+from cinegraph.operators.movies import MOVIE_COLUMNS
+from cinegraph.sources.readers import conform
 
 DETAIL_TAGS = 12
 SEP = " · "
@@ -49,6 +51,7 @@ def movie_detail(ids: DataFrame, movies: DataFrame, movie_tags: DataFrame,
     """Movie row + top tags + providers (+ display fields) for each known id; unknown
     ids give no row."""
     spark = ids.sparkSession
+    movies = conform(movies, MOVIE_COLUMNS)       # absent columns read as nulls
     m = movies.join(ids.select("movie_id").distinct(), "movie_id", "left_semi")
     d = (m.join(top_tags(movie_tags), "movie_id", "left")
          .join(providers_by_movie(availability, spark), "movie_id", "left"))
