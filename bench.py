@@ -29,6 +29,15 @@ HEADLINE = [
 ]
 
 
+def default_driver_memory() -> str:
+    """Half of physical memory, between 2 and 16 GB (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2 ** 30
+    except (ValueError, OSError, AttributeError):
+        total = 8
+    return f"{int(max(2, min(16, total / 2)))}g"
+
+
 def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -40,7 +49,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8),
-                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
+                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", default_driver_memory()))
     timings: dict[str, float] = {}
 
     # JVM warm-up (class loading, first codegen) is reported, not counted in "value".
