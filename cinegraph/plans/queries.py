@@ -6,6 +6,7 @@ orders); every ranking ends on a unique key; integer columns are BIGINT on both
 
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from cinegraph.operators import ann as ann_ops
 from cinegraph.plans.catalog import catalog
 from cinegraph.plans.oracle import assemble
 from cinegraph.plans.oracle import strip as sql_strip
+from cinegraph.functions.text import PROVIDER_LINKS
+from cinegraph.functions.vector import l2_norm
 from cinegraph.sources import adapters
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -302,7 +305,6 @@ SELECT CAST(movie_id AS BIGINT) AS movie_id, title, CAST(year AS BIGINT) AS year
 FROM movie_vectors"""))
 def q_movie_vectors(spark, sf_dir):
     """Vector points with their payload (movies with an overview) and the vector contract."""
-    from cinegraph.functions.vector import l2_norm
     v = catalog(spark, sf_dir).vectors()
     return v.select(big("movie_id"), "title", big("year"), "genres", "director", "poster_path", r6("bayesian_avg"),
                     F.size("embedding").cast("bigint").alias("dim"), F.round(l2_norm("embedding"), 6).alias("norm"))
@@ -327,8 +329,7 @@ def _norm_provider_sql(x: str) -> str:
 
 
 _PROVIDER_DIM_SQL = " UNION ALL ".join(
-    f"SELECT '{k}' AS p_key, '{lab}' AS p_label, '{url}' AS p_url" for k, lab, url in __import__(
-        "cinegraph.functions.text", fromlist=["PROVIDER_LINKS"]).PROVIDER_LINKS)
+    f"SELECT '{k}' AS p_key, '{lab}' AS p_label, '{url}' AS p_url" for k, lab, url in PROVIDER_LINKS)
 
 _DETAIL_EXTRA = {
     "ids": _IDS_SQL,
@@ -529,7 +530,6 @@ ANN_K = 10
 def q_movie_text_vectors(spark, sf_dir):
     """Movie documents embedded by the default (hashing) encoder: contract columns."""
     v = catalog(spark, sf_dir).text_vectors(TEXT_DIM)
-    from cinegraph.functions.vector import l2_norm
     return v.select(big("movie_id"), F.size("embedding").cast("bigint").alias("dim"),
                     F.round(l2_norm("embedding"), 6).alias("norm"),
                     F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nonzero"), "title")
@@ -547,7 +547,6 @@ def q_search_by_text(spark, sf_dir):
 def q_ann_recall(spark, sf_dir):
     """IVF search (k-means cells, nprobe of them) against exact search; recall@10 per query.
     Queries: every vector of the embeddings table."""
-    import math
     c = catalog(spark, sf_dir)
     vectors = c.vectors().select("movie_id", "embedding")
     n = vectors.count()
