@@ -150,3 +150,16 @@ def test_t14_genres_backfilled_only_for_embedded_movies(spark, small_cat):
     assert any(r.movie_id in no_overview for r in res)
     for r in res:
         assert (r.genres is None) == (r.movie_id in no_overview)
+
+
+def test_engine_api(spark, small_cat):
+    from cinegraph.api import MovieEngine
+    eng = MovieEngine(small_cat)
+    rec = eng.graph_recommend(4, limit=20)
+    assert [r.movie_id for r in rec.orderBy("rank").limit(4).collect()] == [184, 2, 70, 148]
+    assert eng.recommend_streaming_filtered([4, 5], "NETFLIX", limit=5).groupBy("seed_id").count().where("count > 5").count() == 0
+    assert eng.get_movie_detail([1, 99999]).count() == 1
+    assert eng.get_streaming_by_movie_ids([1, 2]).count() == 2
+    hits = eng.vector_search(["a heist in the city", "space travel"], limit=5)
+    assert hits.count() == 10 and hits.where("score IS NULL").count() == 0
+    assert eng.audit().where("check = 'fk_orphans' AND value > 0").count() == 0
