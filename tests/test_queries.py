@@ -163,3 +163,14 @@ def test_engine_api(spark, small_cat):
     hits = eng.vector_search(["a heist in the city", "space travel"], limit=5)
     assert hits.count() == 10 and hits.where("score IS NULL").count() == 0
     assert eng.audit().where("check = 'fk_orphans' AND value > 0").count() == 0
+
+
+def test_m21_m22_provider_filter_end_to_end(spark, small_cat):
+    from cinegraph.api import MovieEngine
+    eng = MovieEngine(small_cat)
+    cols = ["seed_id", "rank", "movie_id", F.round("composite", 9).alias("c")]
+    a = rows(eng.recommend_streaming_filtered(4, "PRIME_VIDEO ", limit=20), *cols)
+    b = rows(eng.recommend_streaming_filtered(4, "prime video", limit=20), *cols)
+    assert a == b and len(a) > 0
+    on_prime = {r.movie_id for r in small_cat.availability().where("provider = 'prime video'").collect()}
+    assert all(r[2] in on_prime for r in a)
