@@ -22,6 +22,7 @@ from cinegraph.operators import movies as movie_ops
 from cinegraph.operators import ratings as rating_ops
 from cinegraph.operators import tags as tag_ops
 from cinegraph.operators import vectors as vec_ops
+from cinegraph.operators.joins import key_degrees
 from cinegraph.session import ensure_checkpoint_dir
 from cinegraph.sources import adapters, readers
 
@@ -171,6 +172,14 @@ class Catalog:
     def fan_edges(self) -> DataFrame:
         return self._get("fan_edges", lambda: graph_ops.fan_edges(self.rated()))
 
+    def user_degrees(self) -> DataFrame:
+        """Fan-edge degree of every heavy user (> DEGREE_FLOOR edges): read by salted joins."""
+        return self._get("user_degrees", lambda: key_degrees(self.fan_edges(), "user_id"))
+
+    def tag_degrees(self) -> DataFrame:
+        """HAS_TAG degree of every popular tag (> DEGREE_FLOOR edges): read by salted joins."""
+        return self._get("tag_degrees", lambda: key_degrees(self.has_tag(), "tag"))
+
     def vectors(self) -> DataFrame:
         """Movie vectors: precomputed ones when the inputs have them, else embedded text."""
         emb = self.embeddings()
@@ -195,6 +204,7 @@ class Catalog:
             "availability": self.availability, "movie_tags": self.movie_tags, "ratings": self.ratings,
             "movie_nodes": self.nodes, "has_genre": self.has_genre, "has_tag": self.has_tag,
             "rated": self.rated, "fan_edges": self.fan_edges, "movie_vectors": self.vectors,
+            "user_degrees": self.user_degrees, "tag_degrees": self.tag_degrees,
         }
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             futures = {k: pool.submit(f) for k, f in steps.items()}
@@ -203,7 +213,8 @@ class Catalog:
 
     def recommend_inputs(self) -> dict:
         return dict(nodes=self.nodes(), rated=self.rated(), fans_edges=self.fan_edges(),
-                    has_tag=self.has_tag(), has_genre=self.has_genre(), vectors=self.vectors())
+                    has_tag=self.has_tag(), has_genre=self.has_genre(), vectors=self.vectors(),
+                    user_degrees=self.user_degrees(), tag_degrees=self.tag_degrees())
 
 
 def catalog(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Catalog:
