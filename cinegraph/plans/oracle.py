@@ -34,19 +34,19 @@ def cte(name: str, deps: list[str], body: str) -> None:
 
 
 # ---------------------------------------------------------------- adapters (FIXTURES 2.1)
-cte("p200", [], "SELECT * FROM part WHERE p_partkey < 200")
-cte("ml_movies", ["p200"], """
+cte("parts", [], "SELECT * FROM part")
+cte("ml_movies", ["parts"], """
 SELECT p_partkey AS movieId,
        p_name || ' #' || p_partkey || ' (' || (1950 + p_size) || ')' AS title,
        CASE WHEN p_size % 10 = 0 THEN '(no genres listed)'
             ELSE p_type || '| ' || p_brand || '|S' || (p_size % 4) END AS genres
-FROM p200""")
-cte("ml_links", ["p200"], """
+FROM parts""")
+cte("ml_links", ["parts"], """
 SELECT p_partkey AS movieId, 'tt' || p_partkey AS imdbId,
        CASE WHEN p_partkey % 20 = 7 THEN NULL ELSE CAST(p_partkey + 10000 AS DOUBLE) END AS tmdbId
-FROM p200""")
+FROM parts""")
 cte("li", [], """
-SELECT l_partkey % 190 AS movie_id, o_custkey AS user_id, CAST(l_quantity AS INTEGER) AS q,
+SELECT l_partkey AS movie_id, o_custkey AS user_id, CAST(l_quantity AS INTEGER) AS q,
        l_linenumber, l_returnflag, o_orderpriority
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 cte("ml_ratings", ["li"], """
@@ -59,7 +59,7 @@ FROM (SELECT movie_id AS movieId, l_linenumber % 3 AS ln,
              substr(o_orderpriority, 3) || '-' || l_returnflag ||
              CASE WHEN movie_id % 2 = 0 THEN '-e' ELSE '-' || (movie_id % 3) END AS t
       FROM li)""")
-cte("ext_meta", ["p200"], """
+cte("ext_meta", ["parts"], """
 SELECT CASE WHEN k % 25 = 3 THEN 'x' || k ELSE (k + 10000) || CASE WHEN k % 2 = 0 THEN '.0' ELSE '' END END AS id,
        p_name AS title,
        CASE WHEN k % 11 = 0 THEN NULL ELSE d.text END AS overview,
@@ -71,14 +71,14 @@ SELECT CASE WHEN k % 25 = 3 THEN 'x' || k ELSE (k + 10000) || CASE WHEN k % 2 =
        p_retailprice / 200.0 AS vote_average,
        CAST(p_size * 10 AS INTEGER) AS vote_count,
        CASE WHEN k % 13 = 0 THEN 'unknown' ELSE (1950 + p_size) || '-0' || (1 + p_size % 9) || '-15' END AS release_date
-FROM (SELECT *, p_partkey AS k FROM p200) p LEFT JOIN documents d ON d.doc_id = p.k""")
-cte("availability_raw", ["p200"], """
+FROM (SELECT *, p_partkey AS k FROM parts) p LEFT JOIN documents d ON d.doc_id = p.k""")
+cte("availability_raw", ["parts"], """
 SELECT CASE WHEN k % 4 = 0 THEN upper(base) ELSE ' ' || base || ' ' END AS "Title",
        CASE WHEN k % 13 = 0 THEN NULL ELSE CAST(1950 + p_size AS VARCHAR) END AS "Year",
        CAST(p_size % 2 AS INTEGER) AS "Netflix",
        CAST(p_size % 3 = 0 AS INTEGER) AS "Hulu",
        CAST(p_size % 5 = 0 AS INTEGER) AS "Prime Video"
-FROM (SELECT *, p_partkey AS k, p_name || ' #' || p_partkey AS base FROM p200)""")
+FROM (SELECT *, p_partkey AS k, p_name || ' #' || p_partkey AS base FROM parts)""")
 
 # ---------------------------------------------------------------- build steps
 cte("stats0", ["ml_ratings"], """

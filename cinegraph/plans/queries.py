@@ -37,11 +37,10 @@ REGISTRY: dict[str, Builder] = {}
 ORACLE: dict[str, str] = {}
 
 # --- fixed parameters of the registered queries -----------------------------------------
-SEEDS = adapters.SEED_IDS          # 4, 5, 11
 LIMIT = 20                         # results per seed / per query
 PROVIDER = "Netflix"
-SEEDS_SQL = "SELECT p_partkey AS seed_id FROM part WHERE p_partkey < 200 AND p_partkey IN (4, 5, 11)"
-ALL_SEEDS_SQL = "SELECT movie_id AS seed_id FROM movies"
+# Seeds of every 'find similar' query: the whole canonical movie table.
+SEEDS_SQL = "SELECT movie_id AS seed_id FROM movies"
 # ------------------------------------------------------------------------------------
 
 
@@ -180,8 +179,9 @@ def q_graph_counts(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- signals
-def _seeds(spark, sf_dir, ids=None):
-    return adapters.seeds(spark, sf_dir, ids)
+def _seeds(spark, sf_dir):
+    """Every canonical movie is a seed."""
+    return catalog(spark, sf_dir).movies().select(F.col("movie_id").alias("seed_id"))
 
 
 @register("signal_collab", assemble("""
@@ -190,7 +190,7 @@ SELECT CAST(seed_id AS BIGINT) AS seed_id, CAST(movie_id AS BIGINT) AS movie_id,
 def q_signal_collab(spark, sf_dir):
     c = catalog(spark, sf_dir)
     s = _seeds(spark, sf_dir)
-    out = sig_ops.signal_collab(s, c.rated(), c.fan_edges(), c.nodes(), seed_ids=list(SEEDS))
+    out = sig_ops.signal_collab(s, c.rated(), c.fan_edges(), c.nodes())
     return out.select(big("seed_id"), big("movie_id"), big("rank"), big("co_fans"), r6("boost"))
 
 
@@ -199,7 +199,7 @@ SELECT CAST(seed_id AS BIGINT) AS seed_id, CAST(movie_id AS BIGINT) AS movie_id,
        weighted_overlap, shared_tags, label, round(boost, 6) AS boost FROM sig_tags""", {"seeds": SEEDS_SQL}))
 def q_signal_tags(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    out = sig_ops.signal_tags(_seeds(spark, sf_dir), c.has_tag(), c.nodes(), seed_ids=list(SEEDS))
+    out = sig_ops.signal_tags(_seeds(spark, sf_dir), c.has_tag(), c.nodes())
     return out.select(big("seed_id"), big("movie_id"), big("rank"), big("weighted_overlap"), "shared_tags",
                       "label", r6("boost"))
 
@@ -209,7 +209,7 @@ SELECT CAST(seed_id AS BIGINT) AS seed_id, CAST(movie_id AS BIGINT) AS movie_id,
        genre_count, shared_genres, label, round(boost, 6) AS boost FROM sig_genres""", {"seeds": SEEDS_SQL}))
 def q_signal_genres(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    out = sig_ops.signal_genres(_seeds(spark, sf_dir), c.has_genre(), c.nodes(), seed_ids=list(SEEDS))
+    out = sig_ops.signal_genres(_seeds(spark, sf_dir), c.has_genre(), c.nodes())
     return out.select(big("seed_id"), big("movie_id"), big("rank"), big("genre_count"), "shared_genres",
                       "label", r6("boost"))
 
@@ -220,7 +220,7 @@ SELECT CAST(seed_id AS BIGINT) AS seed_id, CAST(movie_id AS BIGINT) AS movie_id,
                                    {"seeds": SEEDS_SQL}, {"VK": LIMIT + 5}))
 def q_signal_vector(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    out = sig_ops.signal_vector(_seeds(spark, sf_dir), c.vectors(), LIMIT, seed_ids=list(SEEDS))
+    out = sig_ops.signal_vector(_seeds(spark, sf_dir), c.vectors(), LIMIT)
     return out.select(big("seed_id"), big("movie_id"), big("rank"), r6("vector_score"), r6("boost"))
 
 
@@ -231,15 +231,15 @@ _REC_SQL = "SELECT * FROM recommended"
 @register("recommend", assemble(_REC_SQL, {"seeds": SEEDS_SQL}, {"VK": LIMIT + 5, "LIMIT": LIMIT}))
 def q_recommend(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    return rec_ops.recommend(_seeds(spark, sf_dir), limit=LIMIT, seed_ids=list(SEEDS), **c.recommend_inputs())
+    return rec_ops.recommend(_seeds(spark, sf_dir), limit=LIMIT, **c.recommend_inputs())
 
 
-@register("recommend_many", assemble(_REC_SQL, {"seeds": ALL_SEEDS_SQL}, {"VK": LIMIT + 5, "LIMIT": LIMIT}))
+@register("recommend_many", assemble(_REC_SQL, {"seeds": SEEDS_SQL}, {"VK": LIMIT + 5, "LIMIT": LIMIT}))
 def q_recommend_many(spark, sf_dir):
-    """'Find similar' for every canonical movie at once."""
+    """'Find similar' for every canonical movie through the application-level entry point."""
+    from cinegraph.api import MovieEngine
     c = catalog(spark, sf_dir)
-    seeds = c.movies().select(F.col("movie_id").alias("seed_id"))
-    return rec_ops.recommend(seeds, limit=LIMIT, seed_ids=None, **c.recommend_inputs())
+    return MovieEngine(c).graph_recommend(_seeds(spark, sf_dir), limit=LIMIT)
 
 
 _OVER = max(LIMIT * 5, 80)
@@ -258,7 +258,7 @@ QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY rank) <= {LIMIT}""",
 def q_recommend_on_provider(spark, sf_dir):
     c = catalog(spark, sf_dir)
     return rec_ops.recommend_on_provider(_seeds(spark, sf_dir), PROVIDER, c.availability(), limit=LIMIT,
-                                         seed_ids=list(SEEDS), **c.recommend_inputs())
+                                         **c.recommend_inputs())
 
 
 # ---------------------------------------------------------------- search and vectors
@@ -273,8 +273,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, ve
             FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, movie_id) AS vec_rank
                   FROM (SELECT q.vec_id AS query_id, v.movie_id,
                                list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
-                        FROM embeddings q, movie_vectors v
-                        WHERE q.vec_id BETWEEN 200 AND 209)) h
+                        FROM embeddings q, movie_vectors v)) h
             JOIN movie_vectors v ON v.movie_id = h.movie_id
             WHERE h.vec_rank <= {LIMIT * 5}))
 WHERE rank <= {LIMIT}"""))
@@ -311,7 +310,7 @@ def q_movie_vectors(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- detail and enrichment
-_IDS_SQL = "SELECT p_partkey AS movie_id FROM part WHERE p_partkey < 200"
+_IDS_SQL = "SELECT p_partkey AS movie_id FROM part"
 
 
 def _ids(spark, sf_dir):
@@ -412,7 +411,7 @@ FROM recommended r LEFT JOIN prov_by_movie p ON p.movie_id = r.movie_id""",
                                       {**_DETAIL_EXTRA, "seeds": SEEDS_SQL}, {"VK": LIMIT + 5, "LIMIT": LIMIT}))
 def q_enriched_results(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    rec = rec_ops.recommend(_seeds(spark, sf_dir), limit=LIMIT, seed_ids=list(SEEDS), **c.recommend_inputs())
+    rec = rec_ops.recommend(_seeds(spark, sf_dir), limit=LIMIT, **c.recommend_inputs())
     return enrich_ops.enrich_results(rec, c.availability())
 
 

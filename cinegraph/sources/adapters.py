@@ -10,12 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# --- fixed values of the adapter definitions (FIXTURES.md 2.1) ---------------------
-N_MOVIES = 200          # movies are parts with p_partkey < 200
-RATED_MODULUS = 190     # movie_id = l_partkey % 190, so ten movies stay unrated
-QUERY_VEC_IDS = list(range(200, 210))   # query vectors: never movie ids
-SEED_IDS = [4, 5, 11]
-# ------------------------------------------------------------------------------------
+# Every part is a movie and every line item a rating: nothing is capped, so the work of
+# every query grows with the scale factor. Query vectors are the whole embeddings table;
+# seeds for 'find similar' are the whole canonical movie table (``plans/catalog``).
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_partkey") < N_MOVIES)
+    return table(spark, sf_dir, "part")
 
 
 def ml_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +47,7 @@ def _rating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return li.join(orders, li.l_orderkey == orders.o_orderkey, "inner").select(
-        (F.col("l_partkey") % RATED_MODULUS).alias("movie_id"),
+        F.col("l_partkey").alias("movie_id"),
         F.col("o_custkey").alias("user_id"),
         F.col("l_quantity").cast("int").alias("q"),
         "l_linenumber", "l_returnflag", "o_orderpriority",
@@ -126,9 +123,8 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search queries given as vectors: embeddings 200-209 (never movie ids)."""
-    return embeddings(spark, sf_dir).where(F.col("vec_id").isin(QUERY_VEC_IDS)).select(
-        F.col("vec_id").alias("query_id"), F.col("embedding"))
+    """Search queries given as vectors: every row of the embeddings table."""
+    return embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding"))
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +132,7 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"))
 
 
-def seeds(spark: SparkSession, sf_dir: str, ids=None) -> DataFrame:
-    """Seed movies for 'find similar', taken from the canonical id column (part keys)."""
-    ids = list(SEED_IDS if ids is None else ids)
-    return _parts(spark, sf_dir).where(F.col("p_partkey").isin(ids)).select(
+def seeds(spark: SparkSession, sf_dir: str, ids) -> DataFrame:
+    """Seed movies for 'find similar' given by id (the application's one-movie entry point)."""
+    return _parts(spark, sf_dir).where(F.col("p_partkey").isin(list(ids))).select(
         F.col("p_partkey").alias("seed_id"))
