@@ -35,7 +35,7 @@ def test_query_matches_oracle(spark, sf_small, duck, name):
 
 def test_collab_plan(spark, sf_small):
     c = catalog(spark, sf_small)
-    df = signal_collab(adapters.seeds(spark, sf_small), c.rated(), c.fan_edges(), c.nodes(), seed_ids=[4, 5, 11])
+    df = signal_collab(adapters.seeds(spark, sf_small, [4, 5, 11]), c.rated(), c.fan_edges(), c.nodes(), seed_ids=[4, 5, 11])
     p = plan(df)
     assert "WindowGroupLimit" in p                      # per-seed top-k limited before the shuffle
     assert "BroadcastHashJoin" in p                     # bounded fan set broadcast to the edge scan
@@ -46,7 +46,7 @@ def test_collab_plan(spark, sf_small):
 
 def test_tags_plan_no_cross_join(spark, sf_small):
     c = catalog(spark, sf_small)
-    p = plan(signal_tags(adapters.seeds(spark, sf_small), c.has_tag(), c.nodes(), seed_ids=[4, 5, 11]))
+    p = plan(signal_tags(adapters.seeds(spark, sf_small, [4, 5, 11]), c.has_tag(), c.nodes(), seed_ids=[4, 5, 11]))
     assert "BroadcastHashJoin" in p and "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "WindowGroupLimit" in p
 
