@@ -129,13 +129,23 @@ def genres_for_doc(col) -> Column:
     return F.replace(_c(col), F.lit("|"), F.lit(", "))
 
 
-def make_doc(overview, tagline, genres, director, title, year, missing: str = "omit") -> Column:
-    """Embedding document: overview[:500] | Tagline | Genres | Director | title (year).
+# Fixed value of the source application: it cut the overview to 500 characters to fit its
+# transformer's input window. Our encoders take whole texts, so the cut is opt-in.
+SOURCE_OVERVIEW_CHARS = 500
 
-    Empty parts are skipped. ``missing='literal'`` renders a null tagline / genres /
-    director as the text ``nan`` the way the source's truthiness test does.
+
+def make_doc(overview, tagline, genres, director, title, year, missing: str = "omit",
+             overview_chars: int | None = None) -> Column:
+    """Embedding document: overview | Tagline | Genres | Director | title (year).
+
+    The whole overview is used unless ``overview_chars`` is given (the source used
+    ``SOURCE_OVERVIEW_CHARS``). Empty parts are skipped. ``missing='literal'`` renders a
+    null tagline / genres / director as the text ``nan`` the way the source's truthiness
+    test does.
     """
-    ov = F.substring(F.coalesce(_c(overview), F.lit("")), 1, 500)
+    ov = F.coalesce(_c(overview), F.lit(""))
+    if overview_chars is not None:
+        ov = F.substring(ov, 1, overview_chars)
 
     def part(label: str, c: Column) -> Column:
         if missing == "literal":

@@ -284,7 +284,7 @@ def q_search_by_vector(spark, sf_dir):
 
 _DOC_SQL_PART = """
 SELECT movie_id, concat_ws(' | ',
-         CASE WHEN substr(coalesce(overview, ''), 1, 500) <> '' THEN substr(coalesce(overview, ''), 1, 500) END,
+         CASE WHEN coalesce(overview, '') <> '' THEN overview END,
          CASE WHEN tagline IS NOT NULL AND tagline <> '' THEN 'Tagline: ' || tagline END,
          CASE WHEN genres IS NOT NULL AND replace(genres, '|', ', ') <> '' THEN 'Genres: ' || replace(genres, '|', ', ') END,
          CASE WHEN director IS NOT NULL AND director <> '' THEN 'Director: ' || director END,

@@ -52,11 +52,14 @@ def test_m11_m12_make_doc(spark):
     assert col_values(df, lit)[0] == "A heist. | Tagline: nan | Genres: Action, Crime | Director: X | Heat (1995)"
 
 
-def test_make_doc_overview_cut_at_500_code_points(spark):
-    long = "é" * 600
+def test_make_doc_whole_overview_and_optional_cut(spark):
+    long = "é" * 60000
     df = spark.createDataFrame([(0, long, "t")], "i int, overview string, title string")
     doc = T.make_doc(F.col("overview"), F.lit(None), F.lit(None), F.lit(None), F.col("title"), F.lit(None))
-    assert col_values(df, doc)[0] == "é" * 500 + " | t ()"
+    assert col_values(df, doc)[0] == long + " | t ()"
+    cut = T.make_doc(F.col("overview"), F.lit(None), F.lit(None), F.lit(None), F.col("title"), F.lit(None),
+                     overview_chars=T.SOURCE_OVERVIEW_CHARS)
+    assert col_values(df, cut)[0] == "é" * 500 + " | t ()"
 
 
 def test_m21_provider_normalisation(spark):
