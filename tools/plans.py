@@ -18,7 +18,7 @@ from cinegraph.plans.catalog import catalog  # noqa: E402
 from cinegraph.plans.queries import REGISTRY  # noqa: E402
 from cinegraph.session import build_session  # noqa: E402
 
-QUERIES = ["signal_collab", "signal_tags", "signal_genres", "recommend", "recommend_many", "search_by_vector",
+QUERIES = ["signal_collab", "signal_tags", "signal_genres", "signal_vector", "recommend", "search_by_vector",
            "subgraph_edges"]
 
 
@@ -37,15 +37,15 @@ def summary(name: str, df) -> str:
             scans.append("\n".join(k for k in keep if not k.startswith("Location")))
     counts = {k: len(re.findall(rf"(?<![A-Za-z]){k}(?: [A-Za-z]+)* \(\d+\)", tree)) for k in
               ["Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
-               "CartesianProduct", "WindowGroupLimit", "MapInPandas", "BatchEvalPython"]}
-    counts["joins on (key, _salt)"] = len(re.findall(r"Left keys \[2\]: \[[^\]]*_salt", text))
+               "CartesianProduct", "WindowGroupLimit", "MapInPandas", "FlatMapCoGroupsInPandas", "BatchEvalPython"]}
     return (f"## {name}\n\n{', '.join(f'{k}: {v}' for k, v in counts.items())}\n\n```\n{tree}\n```\n\n"
             f"Scans:\n\n```\n" + "\n\n".join(scans) + "\n```\n")
 
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
-    spark = build_session("local[8]", shuffle_partitions=16)
+    from bench import default_driver_memory
+    spark = build_session("local[8]", shuffle_partitions=16, driver_memory=default_driver_memory())
     cat = catalog(spark, sf_dir)
     cat.build_all()
     parts = [f"# Executed plans ({sf_dir}, local[8], AQE on)\n\nGenerated by `tools/plans.py`. "
@@ -54,15 +54,12 @@ def main(argv):
     parts.append(summary("tag build (movie_tags, from raw lines)", build_tags(cat.ml_tags(), cat.movies())))
     for q in QUERIES:
         parts.append(summary(q, REGISTRY[q](spark, sf_dir)))
-    # The same many-seed plan as it runs when tables exceed the broadcast thresholds: only
-    # bounded sides keep explicit broadcasts; hot users / tags are salted (threshold lowered
-    # here so that the small test data has hot keys).
-    import cinegraph.operators.joins as J
+    # The same all-seed plan as it runs when tables exceed the broadcast thresholds: only
+    # bounded sides keep explicit broadcasts; the grid cells are fixed in number.
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    J.HOT_KEY_ROWS = 50
-    parts.append(summary("recommend_many as planned for large tables (size-based broadcast off, salting on)",
-                         REGISTRY["recommend_many"](spark, sf_dir)))
+    parts.append(summary("recommend as planned for large tables (size-based broadcast off)",
+                         REGISTRY["recommend"](spark, sf_dir)))
     out = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(out, "w") as f:
         f.write("\n".join(parts))
