@@ -63,3 +63,18 @@ def test_recommend_plan_python_only_in_knn(spark, sf_small):
     p = plan(df)
     assert "BatchEvalPython" not in p                   # no row-at-a-time Python UDF anywhere
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_many_seed_overlap_signals_never_join_on_the_shared_key(spark, sf_small):
+    """All-seed tag and co-fan plans run on the cogroup grid: no equi-join on tag or user
+    (which would emit every pair of a popular tag / heavy user), no cross join."""
+    c = catalog(spark, sf_small)
+    seeds = c.movies().selectExpr("movie_id AS seed_id")
+    for df in (signal_tags(seeds, c.has_tag(), c.nodes(), seed_ids=None),
+               signal_collab(seeds, c.rated(), c.fan_edges(), c.nodes(), seed_ids=None)):
+        p = plan(df)
+        assert "FlatMapCoGroupsInPandas" in p
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+        join_keys = [ln for ln in p.split("\n") if ln.startswith(("Left keys", "Right keys"))]
+        assert not any("tag#" in ln and "movie_id" not in ln for ln in join_keys), join_keys
+        assert not any("user_id#" in ln for ln in join_keys), join_keys
