@@ -86,14 +86,15 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
 
 def threshold_of(scores: DataFrame):
-    """Scalar: the score from which to accept, by balanced accuracy over (score, verdict); 0 without both kinds."""
+    """Scalar: the score from which to accept, by balanced accuracy over (score, verdict); 0 without
+    both kinds. It lies halfway between the last score to accept and the next lower one."""
     cells = scores.groupBy(F.round("score", 2).alias("t")).agg(
         F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"))
     down = W.orderBy(F.desc("t"))  # some hundred cells at most: scores are mean log ratios
-    cells = cells.select("t", F.sum("a").over(down).alias("above"), F.sum("b").over(down).alias("wrong"),
+    cells = cells.select("t", F.coalesce(F.lead("t").over(down), F.col("t")).alias("below"), F.sum("a").over(down).alias("above"), F.sum("b").over(down).alias("wrong"),
                          F.sum("a").over(W.partitionBy()).alias("na"), F.sum("b").over(W.partitionBy()).alias("nb"))
     gain = F.col("above") / F.col("na") - F.col("wrong") / F.col("nb")
-    best = cells.where((F.col("na") > 0) & (F.col("nb") > 0)).agg(F.max_by("t", F.struct(F.round(gain, 9), F.col("t"))).alias("t"))
+    best = cells.where((F.col("na") > 0) & (F.col("nb") > 0)).agg(F.max_by((F.col("t") + F.col("below")) / 2, F.struct(F.round(gain, 9), F.col("t"))).alias("t"))
     return best.select(F.coalesce("t", F.lit(0.0)).alias("t")).scalar()
 
 
@@ -161,8 +162,8 @@ counts AS (SELECT gram, count(*) FILTER (WHERE NOT calibrates AND decided = 'all
 scores AS (SELECT n, round(avg(ln(pa) - ln(pb)), 6) AS score FROM grams JOIN p{ORDER} ON gram = g GROUP BY n),
 cells AS (SELECT round(score, 2) AS t, count(*) FILTER (WHERE decided = 'allow') AS a, count(*) FILTER (WHERE decided = 'block') AS b
   FROM scores JOIN spelt USING (n) WHERE calibrates AND decided IS NOT NULL GROUP BY 1),
-gains AS (SELECT t, round(sum(a) OVER (ORDER BY t DESC) / sum(a) OVER () - sum(b) OVER (ORDER BY t DESC) / sum(b) OVER (), 9) AS gain FROM cells),
-best AS (SELECT coalesce((SELECT t FROM gains WHERE isfinite(gain) ORDER BY gain DESC, t DESC LIMIT 1), 0.0) AS t)
+gains AS (SELECT t, coalesce(lead(t) OVER (ORDER BY t DESC), t) AS below, round(sum(a) OVER (ORDER BY t DESC) / sum(a) OVER () - sum(b) OVER (ORDER BY t DESC) / sum(b) OVER (), 9) AS gain FROM cells),
+best AS (SELECT coalesce((SELECT (t + below) / 2 FROM gains WHERE isfinite(gain) ORDER BY gain DESC, t DESC LIMIT 1), 0.0) AS t)
 SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict
 FROM spelt JOIN scores USING (n), best
 """
