@@ -13,8 +13,8 @@ an equality join brings candidates together. A parity signature of the character
 flips at most two bits) drops chance candidates inside the join, before a pair is made; the
 rest are verified by banded bit-parallel edit distance. Only candidates' texts move.
 
-A segment shared by very many lines is a hot key: copies of a line count once, the signature
-keeps its pairs from being emitted, and adaptive execution splits its partition.
+A segment shared by very many lines is a hot key: copies of a line count once, and the
+signature keeps its chance pairs from being emitted.
 
 Defined cases: null and empty texts have no lines; in one document a repeated line counts
 once, its first; rows that repeat an id share their lines' fate; a null id is last: its
@@ -25,6 +25,7 @@ extra columns are ignored, whatever their names. A document that loses all its l
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import fixed_bitmap, in_bitmap, map_slices, materialise, read_table
+from cinegraph.llm.common import SLICE_ROWS, fixed_bitmap, in_bitmap, map_slices, materialise, read_table
 from cinegraph.llm.components import connected_components
 
 MAX_EDITS = 2
 # Two edits leave less than nine tenths of a shorter line alike.
 MIN_CHARS = 24
 SIEVE_BITS = 23
+# Lines that a task remembers having sent.
+MET_LINES = 500_000
 
 _PARITY = np.array([1 << (i % 32) for i in range(64)], np.uint32)
 
@@ -166,61 +169,84 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_slices(source, run, "id long, line_no int, again boolean, digest binary")
 
 
-def _short_id(d: bytes) -> int:
-    return int.from_bytes(d[:8], "little", signed=True)
+def line_key(body: str) -> int:
+    """Signed 64-bit name of a line among candidates; texts decide, so a clash loses nothing."""
+    key = xxhash.xxh3_64_intdigest(body)
+    return key - (1 << 64) if key >= 1 << 63 else key
 
 
-def _keys(docs: DataFrame, text_col: str, edits: int, min_chars: int, probes: bool) -> DataFrame:
-    """(key, line, sig, own): index keys of all lines, and with ``probes`` their probe keys too."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, lines, sigs, own = [], [], [], []
-        seen: set[str] = set()
+def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
+    """(key, line, sig, own): the index keys (``own``) and the other probe keys of all lines.
+
+    A task sends a line it has met lately no second time, so a line of very many copies is a
+    few rows for each task, not for each copy.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh64_intdigest
         spans: dict[int, list] = {}
-        for text in batch.column(0).to_pylist():
-            for raw in (text or "").split("\n"):
-                body = normalise(raw)
-                n = len(body)
-                if n < min_chars or body in seen:
+        met: set[int] = set()
+        n_own = edits + 1
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                keys, lines, sigs, sizes = [], [], [], []
+                for text in batch.column(0).slice(start, SLICE_ROWS).to_pylist():
+                    for raw in (text or "").split("\n"):
+                        body = normalise(raw)
+                        n = len(body)
+                        if n < min_chars:
+                            continue
+                        line = line_key(body)
+                        if line in met:
+                            continue
+                        if len(met) >= MET_LINES:
+                            met.clear()
+                        met.add(line)
+                        here = spans.get(n)
+                        if here is None:
+                            here = spans[n] = [(n << 8 | i, a, b) for i, (a, b) in enumerate(segment_bounds(n, edits))] + [
+                                (length << 8 | i, a, b) for length, i, a, b in probe_spans(n, edits)]
+                        keys += [hashed(body[a:b], seed) for seed, a, b in here]
+                        lines.append(line)
+                        sigs.append(signature(body))
+                        sizes.append(len(here))
+                if not keys:
                     continue
-                seen.add(body)
-                if n not in spans:
-                    spans[n] = [(n << 8 | i, a, b) for i, (a, b) in enumerate(segment_bounds(n, edits))] + (
-                        [(length << 8 | i, a, b) for length, i, a, b in probe_spans(n, edits)] if probes else [])
-                here = spans[n]
-                keys += [hashed(body[a:b], seed) for seed, a, b in here]
-                lines += [_short_id(digest(body))] * len(here)
-                sigs += [signature(body)] * len(here)
-                own += [k <= edits for k in range(len(here))]
-        return pa.record_batch([
-            pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(lines, pa.int64()),
-            pa.array(np.array(sigs, np.uint32).view(np.int32)), pa.array(own, pa.bool_())],
-            names=["key", "line", "sig", "own"])
-
-    return map_slices(docs.select(F.col(text_col).alias("text")), run, "key long, line long, sig int, own boolean")
+                ends = np.cumsum(sizes)
+                rank = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
+                yield pa.record_batch([
+                    pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(lines, np.int64), sizes)),
+                    pa.array(np.repeat(np.array(sigs, np.uint32).view(np.int32), sizes)), pa.array(rank < n_own)],
+                    names=["key", "line", "sig", "own"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, line long, sig int, own boolean")
 
 
 def candidate_lines(docs: DataFrame, text_col: str = "text", edits: int = MAX_EDITS,
                     min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of short line ids, a < b, that share a segment and may be near."""
-    index = _keys(docs, text_col, edits, min_chars, probes=False).groupBy("key", "line").agg(F.first("sig").alias("sig"))
-    probe = _keys(docs, text_col, edits, min_chars, probes=True).groupBy("key", "line").agg(F.first("sig").alias("sig"))
-    left = index.select("key", F.col("line").alias("x"), F.col("sig").alias("sx"))
-    right = probe.select(F.col("key").alias("k2"), F.col("line").alias("y"), F.col("sig").alias("sy"))
-    near = left.join(right, (F.col("key") == F.col("k2")) & (F.col("x") != F.col("y"))
-                     & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 2 * edits))
+    """Pairs (a, b) of line keys, a < b, that share a segment and may be near.
+
+    The keys are dealt once, by key; both sides of the join read that one exchange.
+    """
+    dealt = segment_keys(docs, text_col, edits, min_chars).repartition("key").groupBy("key", "line").agg(
+        F.first("sig").alias("sig"), F.max("own").alias("own"))
+    index = dealt.where("own").select("key", F.col("line").alias("x"), F.col("sig").alias("sx"))
+    probe = dealt.select(F.col("key").alias("k2"), F.col("line").alias("y"), F.col("sig").alias("sy"),
+                         F.col("own").alias("indexed"))
+    near = index.join(probe, (F.col("key") == F.col("k2")) & (F.col("x") != F.col("y"))
+                      & (~F.col("indexed") | (F.col("x") < F.col("y")))
+                      & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 2 * edits))
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """(line, body) of the lines whose short id is in ``wanted`` (column ``line``)."""
+    """(line, body) of the lines whose key is in ``wanted`` (column ``line``)."""
     sieve = fixed_bitmap(wanted, "line", SIEVE_BITS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bitmap = np.frombuffer(sieve, np.uint64)
         bodies = list({b for t in batch.column(0).to_pylist() for b in map(normalise, (t or "").split("\n"))
                        if len(b) >= min_chars})
-        lines = np.array([_short_id(digest(b)) for b in bodies], np.int64)
+        lines = np.array([line_key(b) for b in bodies], np.int64)
         hit = np.flatnonzero(in_bitmap(bitmap, lines.view(np.uint64))) if bodies else []
         return pa.record_batch([pa.array([int(lines[i]) for i in hit], pa.int64()),
                                 pa.array([bodies[i] for i in hit], pa.string())], names=["line", "body"])
