@@ -22,6 +22,7 @@ import sys
 import zlib
 from array import array
 from collections import defaultdict
+from operator import attrgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 WINDOW = 4096
 GROUP_PIECES = 20_000
-MAX_CACHED = 600_000
+MAX_CACHED = 1_000_000
 
 
 class CapacityTree:
@@ -97,6 +98,9 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[tuple[
     return places
 
 
+_TOKEN_ID = attrgetter("id")
+
+
 def _binary(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if sys.byteorder != "little":
@@ -123,7 +127,10 @@ class WordIds(BoundedCache):
         if marks:  # letters end before a mark, whatever follows
             return self[letters] + self[marks]
         # these letters are composed already, and each has one lower-case letter
-        return _binary([t.id for t in self._model.tokenize(byte_level(letters.lower()))])
+        low = letters.lower()
+        if low != letters:
+            return self[low]
+        return _binary(list(map(_TOKEN_ID, self._model.tokenize(byte_level(low)))))
 
     def encode(self, text: str) -> bytes:
         for c in SURE[1:]:
