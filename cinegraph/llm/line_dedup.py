@@ -225,10 +225,18 @@ def candidate_lines(docs: DataFrame, text_col: str = "text", edits: int = MAX_ED
                     min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (a, b) of line keys, a < b, that share a segment and may be near.
 
-    The keys are dealt once, by key; both sides of the join read that one exchange.
+    The keys are dealt once. Most occur in one line only; those go before anything is paired,
+    and what is left, written, is small. The join's exchanges are Spark's own, so that adaptive
+    execution may split a hot segment's partition.
     """
-    dealt = segment_keys(docs, text_col, edits, min_chars).repartition("key").groupBy("key", "line").agg(
-        F.first("sig").alias("sig"), F.max("own").alias("own"))
+    keys = segment_keys(docs, text_col, edits, min_chars).where(F.col("key").isNotNull()).repartition("key")
+    live = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("own").alias("indexed"),
+                                   F.count("sig").alias("n")).where(
+        F.col("indexed") & (F.col("low") != F.col("high")) & (F.col("n") > 1)).select(F.col("key").alias("k"))
+    # the filter lets all through; it only keeps Spark from dealing the keys anew for the join
+    dealt_keys = keys.where(F.monotonically_increasing_id() >= 0)
+    shared = materialise(dealt_keys.join(live.hint("shuffle_hash"), F.col("key") == F.col("k"), "left_semi"), "shared-segments")
+    dealt = shared.groupBy("key", "line").agg(F.first("sig").alias("sig"), F.max("own").alias("own"))
     index = dealt.where("own").select("key", F.col("line").alias("x"), F.col("sig").alias("sx"))
     probe = dealt.select(F.col("key").alias("k2"), F.col("line").alias("y"), F.col("sig").alias("sy"),
                          F.col("own").alias("indexed"))
