@@ -81,7 +81,7 @@ def main() -> None:
         "rows": counts,
         "rates": {
             "build_ratings_per_sec": round(ratings / timings["build"], 1) if timings["build"] else None,
-            "embed_movies_per_sec": round(counts.get("movie_vectors", 0) / timings["movie_text_vectors"], 1)
+            "embed_movies_per_sec": round(counts.get("movies", 0) / timings["movie_text_vectors"], 1)
             if timings.get("movie_text_vectors") else None,
             "recommend_seeds_per_sec": round(counts.get("movies", 0) / timings["recommend"], 2)
             if timings.get("recommend") else None,

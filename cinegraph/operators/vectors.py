@@ -24,8 +24,8 @@ def embedding_docs(movies: DataFrame, missing: str = "omit") -> DataFrame:
 
 
 def hashing_encoder(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 768) -> DataFrame:
-    """Default encoder, fully JVM-side: word tokens -> hashed term counts -> unit L2 vector."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"\W+", toLowercase=True)
+    """Default encoder, fully JVM-side: word tokens (letters of any script) -> hashed term counts -> unit L2 vector."""
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim)
     norm = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0)
     out = norm.transform(tf.transform(tok.transform(df)))

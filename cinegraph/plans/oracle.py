@@ -163,9 +163,9 @@ WHERE m.overview IS NOT NULL""")
 
 # ---------------------------------------------------------------- signals (seeds CTE given per query)
 cte("fan_rows", ["rated", "seeds"], """
-SELECT s.seed_id, r.user_id, row_number() OVER (PARTITION BY s.seed_id ORDER BY r.user_id) AS rn
+SELECT s.seed_id, r.user_id
 FROM rated r JOIN seeds s ON r.movie_id = s.seed_id WHERE r.rating >= 4.0""")
-cte("fans", ["fan_rows"], "SELECT DISTINCT seed_id, user_id FROM fan_rows WHERE rn <= 5000")
+cte("fans", ["fan_rows"], "SELECT DISTINCT seed_id, user_id FROM fan_rows")
 cte("collab_agg", ["fans", "fan_edges", "movie_nodes"], """
 SELECT f.seed_id, fe.movie_id, count(*) AS co_fans
 FROM fans f JOIN fan_edges fe ON fe.user_id = f.user_id

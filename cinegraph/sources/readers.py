@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.functions.text import PROVIDER_COLUMNS, na_decode
+from cinegraph.functions.text import PROVIDER_COLUMNS, na_decode, to_number
 
 # --- fixed values: input schemas of the source data sets (FIXTURES.md section 1) --------
 ML_MOVIES_SCHEMA = "movieId BIGINT, title STRING, genres STRING"
@@ -70,7 +70,7 @@ def read_ext_meta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_availability_raw(spark: SparkSession, path: str) -> DataFrame:
     """SRC6: optional wide availability CSV. Read as text columns (no inference); provider
-    columns cast to int; an absent file gives an empty table with the full schema."""
+    columns parsed as numbers (``1`` and ``1.0`` alike); an absent file gives an empty table with the full schema."""
     if not _exists(spark, path):
         return spark.createDataFrame([], availability_raw_schema())
     df = decode_na(spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path))
@@ -78,7 +78,7 @@ def read_availability_raw(spark: SparkSession, path: str) -> DataFrame:
            F.col("Year").cast("string").alias("Year") if "Year" in df.columns else F.lit(None).cast("string").alias("Year")]
     for p in PROVIDER_COLUMNS:
         if p in df.columns:
-            out.append(F.col(f"`{p}`").try_cast("int").alias(p))
+            out.append(to_number(F.col(f"`{p}`")).cast("int").alias(p))
     return df.select(*out)
 
 
