@@ -6,7 +6,6 @@ sources/    readers for raw inputs (CSV / Parquet), test-data adapters, sinks
 functions/  native Column expressions (text normalisation, parsing, vectors)
 operators/  DataFrame-in / DataFrame-out operators (ETL, graph, signals, search)
 plans/      the table catalog (materialised build outputs) and the named queries
-streaming/  intentionally empty: the source application has no stream processing
 """
 
 from cinegraph.session import build_session, ensure_checkpoint_dir
