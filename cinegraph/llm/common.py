@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,6 +58,9 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | li
     return df.mapInArrow(run, schema)
 
 
+_LIVE: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+
+
 class BoundedCache(dict):
     """``cache[key]`` computes ``make(key)`` on first use.
 
@@ -67,6 +71,11 @@ class BoundedCache(dict):
     def __init__(self, make: Callable, limit: int = 400_000):
         super().__init__()
         self._make, self._limit, self._old = make, limit, {}
+        _LIVE[id(self)] = self
+
+    def forget(self) -> None:
+        self.clear()
+        self._old = {}
 
     def __missing__(self, key):
         value = self._old.get(key)
@@ -79,6 +88,18 @@ class BoundedCache(dict):
         return value
 
 
+def keep_only(*tables: BoundedCache) -> None:
+    """Empty all word tables of this worker process but these.
+
+    Spark keeps a Python worker between stages: without this, a pipeline's workers would hold
+    a full table for each operator they have run.
+    """
+    kept = set(map(id, tables))
+    for at, table in list(_LIVE.items()):
+        if at not in kept and table:
+            table.forget()
+
+
 def fixed_bitmap(values: DataFrame, column: str, bits: int) -> bytes:
     """A bit set of ``2**bits`` bits with bit ``value mod 2**bits`` set for each long of a column.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import BoundedCache, fixed_bitmap, in_bitmap, map_slices, materialise, read_table
+from cinegraph.llm.common import BoundedCache, fixed_bitmap, in_bitmap, keep_only, map_slices, materialise, read_table
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -52,6 +52,7 @@ _CHUNKS = BoundedCache(_chunk_hashes, MAX_CACHED)
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word (letters, digits and underscores, lower-cased)."""
+    keep_only(_CHUNKS)
     return np.frombuffer(b"".join(map(_CHUNKS.__getitem__, (text or "").split())), "<u8")
 
 

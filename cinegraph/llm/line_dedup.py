@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import SLICE_ROWS, fixed_bitmap, in_bitmap, map_slices, materialise, read_table
+from cinegraph.llm.common import SLICE_ROWS, fixed_bitmap, in_bitmap, keep_only, map_slices, materialise, read_table
 from cinegraph.llm.components import connected_components
 
 MAX_EDITS = 2
@@ -151,6 +151,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep_only()
         ids, numbers, again, digests = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen: set[bytes] = set()
@@ -182,6 +183,7 @@ def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int) ->
     few rows for each task, not for each copy.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         hashed = xxhash.xxh64_intdigest
         spans: dict[int, list] = {}
         met: set[int] = set()

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import BoundedCache, map_slices, materialise, read_table
+from cinegraph.llm.common import BoundedCache, keep_only, map_slices, materialise, read_table
 from cinegraph.llm.pieces import SURE, byte_level, load_tokenizer, plain_parts, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 WINDOW = 4096
 GROUP_PIECES = 20_000
-MAX_CACHED = 1_000_000
+MAX_CACHED = 500_000
 
 
 class CapacityTree:
@@ -145,6 +145,7 @@ def word_ids(path: str) -> WordIds:
     """One table for each tokenizer file and worker process."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordIds(path)
+    keep_only(_ENCODERS[path])
     return _ENCODERS[path]
 
 

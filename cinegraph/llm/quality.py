@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import BoundedCache, map_slices, read_table
+from cinegraph.llm.common import BoundedCache, keep_only, map_slices, read_table
 from cinegraph.llm.toxicity import in_held_out
 
 BUCKETS = 1 << 15
@@ -73,6 +73,7 @@ _WORDS = BoundedCache(_word_buckets, MAX_CACHED)
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of a text: square roots of relative frequencies; bucket 0 is the share
     of words that repeat the word before."""
+    keep_only(_WORDS)
     words = (text or "").encode("utf-8").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)

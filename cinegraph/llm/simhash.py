@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import map_slices, materialise, read_table
+from cinegraph.llm.common import keep_only, map_slices, materialise, read_table
 from cinegraph.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep_only()
         fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
         return pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 

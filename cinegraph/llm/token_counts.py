@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import BoundedCache, map_slices, read_table
+from cinegraph.llm.common import BoundedCache, keep_only, map_slices, read_table
 from cinegraph.llm.pieces import PIECE, SYNC, byte_level, load_tokenizer, plain_parts, spaced_words, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -155,6 +155,7 @@ def compiled(path: str) -> Transducer:
     """One transducer for each tokenizer file and worker process."""
     if path not in _COMPILED:
         _COMPILED[path] = Transducer(path)
+    keep_only(_COMPILED[path].transitions, _COMPILED[path].spaced)
     return _COMPILED[path]
 
 

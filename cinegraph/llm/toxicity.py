@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import BoundedCache, map_slices, read_table
+from cinegraph.llm.common import BoundedCache, keep_only, map_slices, read_table
 
 SAMPLE_TEXTS = 3000
 SAMPLE_BYTES = 1 << 13
@@ -226,6 +226,7 @@ def _scorer(model: Model) -> Distance:
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Distance(model)
+    keep_only(_SCORERS[key].window)
     return _SCORERS[key]
 
 
