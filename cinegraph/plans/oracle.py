@@ -43,7 +43,7 @@ SELECT p_partkey AS movieId,
 FROM parts""")
 cte("ml_links", ["parts"], """
 SELECT p_partkey AS movieId, 'tt' || p_partkey AS imdbId,
-       CASE WHEN p_partkey % 20 = 7 THEN NULL ELSE CAST(p_partkey + 10000 AS DOUBLE) END AS tmdbId
+       CAST(p_partkey + 10000 AS DOUBLE) AS tmdbId
 FROM parts""")
 cte("li", [], """
 SELECT l_partkey AS movie_id, o_custkey AS user_id, CAST(l_quantity AS INTEGER) AS q,
@@ -60,9 +60,9 @@ FROM (SELECT movie_id AS movieId, l_linenumber % 3 AS ln,
              CASE WHEN movie_id % 2 = 0 THEN '-e' ELSE '-' || (movie_id % 3) END AS t
       FROM li)""")
 cte("ext_meta", ["parts"], """
-SELECT CASE WHEN k % 25 = 3 THEN 'x' || k ELSE (k + 10000) || CASE WHEN k % 2 = 0 THEN '.0' ELSE '' END END AS id,
+SELECT (k + 10000) || CASE WHEN k % 2 = 0 THEN '.0' ELSE '' END AS id,
        p_name AS title,
-       CASE WHEN k % 11 = 0 THEN NULL ELSE d.text END AS overview,
+       d.text AS overview,
        CASE WHEN k % 3 = 0 THEN NULL ELSE 'tagline ' || p_brand END AS tagline,
        p_type AS genres,
        CASE WHEN k % 17 = 0 THEN NULL ELSE 'Actor ' || (k % 5) || ', Actor ' || (k % 7) || ' ,Actor ' || (k % 9) || ',A,B,C' END AS movie_cast,

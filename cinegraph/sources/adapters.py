@@ -38,7 +38,7 @@ def ml_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select(
         k.alias("movieId"),
         F.concat(F.lit("tt"), k.cast("string")).alias("imdbId"),
-        F.when(k % 20 == 7, F.lit(None)).otherwise((k + 10000).cast("double")).alias("tmdbId"),
+        (k + 10000).cast("double").alias("tmdbId"),
     )
 
 
@@ -80,8 +80,7 @@ def ext_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"))
     p = _parts(spark, sf_dir)
     j = p.join(docs, p.p_partkey == docs.doc_id, "left")
-    ident = F.when(k % 25 == 3, F.concat(F.lit("x"), k.cast("string"))).otherwise(
-        F.concat((k + 10000).cast("string"), F.when(k % 2 == 0, F.lit(".0")).otherwise(F.lit(""))))
+    ident = F.concat((k + 10000).cast("string"), F.when(k % 2 == 0, F.lit(".0")).otherwise(F.lit("")))
     cast = F.concat(F.lit("Actor "), (k % 5).cast("string"), F.lit(", Actor "), (k % 7).cast("string"),
                     F.lit(" ,Actor "), (k % 9).cast("string"), F.lit(",A,B,C"))
     size = F.col("p_size")
@@ -90,7 +89,7 @@ def ext_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         ident.alias("id"),
         F.col("p_name").alias("title"),
-        F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("overview"),
+        F.col("text").alias("overview"),
         F.when(k % 3 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("tagline "), F.col("p_brand"))).alias("tagline"),
         F.col("p_type").alias("genres"),
