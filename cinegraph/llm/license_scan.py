@@ -5,6 +5,10 @@ and digits as one space), a sentence that is in the table of known licence sente
 for its identifier. The identifiers in the order of the text are matched against rules, each
 a licence and the sentences that have to follow one another (others may stand between).
 
+Sentences end at marks before a blank and at blank lines. At a line's end one may end or go
+on, behind a comment prefix too, as licence texts are wrapped; the longest known sentence
+counts. A table sentence with such a mark inside is looked for across it.
+
 All of it is one expression over a row: nothing is exploded, joined or shuffled, and the
 sentence table is a fixed list.
 
@@ -84,10 +88,16 @@ RULES = (
     ("reserved", "proprietary", ("rights.reserved",)),
 )
 
-# A sentence ends at a mark before white space, or with its line.
-_END = "([.!?;:])[ \\t\\r]+"
-_BREAK = "[\\r\\n]+"
-_OTHER = "[^\\p{L}\\p{N}]+"
+# What is done to a lower-cased text, in order. Form feeds end a sentence, line feeds may.
+_STEPS = (
+    ("\\r\\n?", "\n"),
+    # a mark at a line's end, or a blank line, with the prefixes around it
+    ("(?:[.!?;:][ \\t]*\\n|\\n[^\\p{L}\\p{N}\\n]*\\n)[^\\p{L}\\p{N}]*", "\f"),
+    ("\\n[^\\p{L}\\p{N}\\n\\f]*", "\n"),
+    ("[.!?;:][ \\t]+", "\f"),
+    ("[^\\p{L}\\p{N}\\n\\f]+", " "),
+)
+_MARK = "[.!?;:][ \\t]+"
 
 
 def normalised(sentence: str) -> str:
@@ -95,18 +105,28 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[\W_]+", " ", sentence.lower()).strip()
 
 
+def _pattern(sentences) -> str:
+    """Finds the known sentences (group 1) between ends of sentences or lines in a text after _STEPS."""
+    known = {}
+    for sentence in sentences:
+        parts = [normalised(part).replace(" ", "[ \\n]+") for part in re.split(_MARK, sentence)]
+        known[normalised(sentence)] = "[ \\n\\f]+".join(filter(None, parts))
+    either = "|".join(known[s] for s in sorted(known, key=len, reverse=True))
+    return f"(?:\\A|[\\n\\f]) ?({either})(?= ?(?:[\\n\\f]|\\z))"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None,
          rules=RULES) -> DataFrame:
     """One row per input row: id, sequence (array of sentence identifiers), rules and licences
     (arrays, sorted)."""
-    known = {normalised(s): name for name, s in (sentences or SENTENCES).items()}
-    longest = max(map(len, known))
+    sentences = sentences or SENTENCES
+    known = {normalised(s): name for name, s in sentences.items()}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    lines = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), _END, "$1\n"), _BREAK)
-    # a sentence much longer than any known one can't be known (marks add to its length)
-    short = F.filter(lines, lambda s: (F.length(s) > 0) & (F.length(s) <= 2 * longest))
-    plain = F.transform(short, lambda s: F.btrim(F.regexp_replace(F.lower(s), _OTHER, " ")))
-    names = F.filter(F.transform(plain, lambda s: F.element_at(table, s)), lambda n: n.isNotNull())
+    plain = F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "\f", " ")
+    for step, to in _STEPS:
+        plain = F.regexp_replace(plain, step, to)
+    met = F.regexp_extract_all(plain, F.lit(_pattern(sentences.values())), F.lit(1))
+    names = F.transform(met, lambda s: F.element_at(table, F.regexp_replace(s, "[ \\n\\f]+", " ")))
     found = docs.select(F.col(id_col).alias("id"), names.alias("sequence"))
     # "|a|b|": every identifier has its own bars, so that neighbours match too
     bars = F.concat(F.lit("|"), F.array_join("sequence", "||"), F.lit("|"))

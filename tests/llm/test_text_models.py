@@ -1,5 +1,6 @@
 """Toxicity, quality, URL filter and licence scan: held-out accuracy, edge cases and SQL."""
 import os
+import textwrap
 import zlib
 
 import duckdb
@@ -129,6 +130,45 @@ def test_licences(make_docs, odd_rows, clashing):
     assert license_scan.scan(clashing, sentences={"one": "a b c d"}, rules=(("r", "L", ("one",)),)).where(F.size("rules") == 1).count() == 2
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", ";; ", "\r"])
+def test_every_licence_rule_fires_on_its_wrapped_text(make_docs, prefix):
+    def wrapped(text):
+        cut = textwrap.wrap(text, 48)
+        return "\r\n".join(cut) if prefix == "\r" else "\n".join(prefix + line for line in cut)
+
+    texts = []
+    for _, _, order in license_scan.RULES:
+        parts = [license_scan.SENTENCES[name] for name in order]
+        apart = f"\n{prefix.rstrip()}\n"
+        running = " ".join(part if part[-1] in ".;:" else f"{part}:" for part in parts)
+        texts += [wrapped(running), apart.join(map(wrapped, ["Some title", *parts, "Some end"]))]
+    got = {r.id: r for r in license_scan.scan(make_docs(list(enumerate(texts)))).collect()}
+    for i, (rule, licence, order) in enumerate(license_scan.RULES):
+        for r in (got[2 * i], got[2 * i + 1]):
+            assert rule in r.rules and licence in r.licences and r.sequence == list(order)
+
+
+def test_licence_sentences_end_at_marks_and_blank_lines(make_docs):
+    gpl3 = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. */"""
+    may = license_scan.SENTENCES["apache.may"]
+    docs = make_docs([
+        (1, gpl3), (2, gpl3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")),
+        (3, "Released under\n\nthe MIT License."), (4, "Released under. the MIT License."), (5, "# Released under\n#\n# the MIT License."),
+        (6, "a title\nReleased under the MIT License\nmore words"), (7, "words Released under\nthe MIT License."),
+        (8, may.replace(" (", "\n// (")), (9, "Released under:\nthe MIT License.")])
+    got = {r.id: r for r in license_scan.scan(docs).collect()}
+    assert got[1].rules == ["gpl3-header"] and got[2].rules == ["gpl2-header"]
+    assert got[1].sequence == ["gpl.free", "gpl.hope"] and got[6].rules == ["mit-notice"]
+    assert [got[i].sequence for i in (3, 4, 5, 7, 9)] == [[]] * 5 and got[8].sequence == ["apache.may"]
+
+
 def test_rows_of_every_query_carry_ids(spark):
     assert os.path.isdir(SF)
     assert rows(registry.QUERIES["op10_license_scan"](spark, SF).select(F.count("doc_id"))) == [(1000,)]
