@@ -12,8 +12,8 @@ probability of reaching a wanted grade, by which texts are selected.
 Features: each word hashed by its text and by its shape (the classes of its characters, its
 length, whether it repeats the word before), as frequencies, in ``BUCKETS`` buckets.
 
-Fitted on at most ``SAMPLE_TEXTS`` labelled texts and their first ``SAMPLE_CHARS`` characters
-(documented bounds); scoring reads every whole text.
+Fitted on at most ``SAMPLE_TEXTS`` labelled texts (a documented bound), whole ones as in
+scoring: tasks read them, and only their features come to the driver.
 
 Defined cases: null and empty texts score by the thresholds alone; with fewer than two
 grades in the sample every text scores alike; rows that repeat an id are scored row by row;
@@ -35,7 +35,6 @@ from cinegraph.llm.toxicity import in_held_out
 
 BUCKETS = 1 << 15
 SAMPLE_TEXTS = 8000
-SAMPLE_CHARS = 1 << 13
 ROUNDS = 250
 L2 = 1e-5
 # Select texts that reach this grade with this probability or more.
@@ -90,12 +89,15 @@ def _sigmoid(x):
 
 
 def fit_texts(rows: list[tuple[str | None, int]], grades: int) -> Model:
+    return fit_features([features(t) for t, _ in rows], [g for _, g in rows], grades)
+
+
+def fit_features(parts: list[tuple[np.ndarray, np.ndarray]], found: list[int], grades: int) -> Model:
     """Maximum likelihood of the cumulative-link model by Adam over the whole sample."""
     weights = np.zeros(BUCKETS)
-    y = np.array([g for _, g in rows], np.int64)
+    y = np.array(found, np.int64)
     if len(np.unique(y)) < 2:
         return Model(weights.astype(np.float32), np.zeros(grades - 1))
-    parts = [features(t) for t, _ in rows]
     row = np.repeat(np.arange(len(parts)), [len(b) for b, _ in parts])
     col = np.concatenate([b for b, _ in parts])
     val = np.concatenate([v for _, v in parts]).astype(np.float64)
@@ -139,10 +141,19 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id",
     picked = graded.select(F.col(id_col).cast("long").alias("gid"), F.col(grade_col).cast("int").alias("g")).where(
         F.col("g").between(0, grades - 1) & F.col("gid").isNotNull()).distinct().orderBy(
         F.xxhash64(F.col("gid"), F.lit(11)), "gid", "g").limit(sample_texts)
-    rows = (docs.select(F.col(id_col).cast("long").alias("gid"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"))
-            .join(F.broadcast(picked), "gid").orderBy(F.xxhash64("gid"), "t", "g").limit(sample_texts)
-            .select("t", "g").collect())
-    return fit_texts([(r.t, r.g) for r in rows], grades)
+    sample = (docs.select(F.col(id_col).cast("long").alias("gid"), F.col(text_col).alias("t"))
+              .join(F.broadcast(picked), "gid").select("gid", "g", "t"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [features(t) for t in batch.column(2).to_pylist()]
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array([b.astype("<u2").tobytes() for b, _ in parts], pa.binary()),
+                                pa.array([v.tobytes() for _, v in parts], pa.binary())], names=["gid", "g", "buckets", "numbers"])
+
+    rows = map_slices(sample, run, "gid long, g int, buckets binary, numbers binary").orderBy(
+        F.xxhash64("gid"), "buckets", "numbers", "g").limit(sample_texts).toArrow()
+    parts = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(v, np.float32))
+             for b, v in zip(rows["buckets"].to_pylist(), rows["numbers"].to_pylist(), strict=True)]
+    return fit_features(parts, rows["g"].to_pylist(), grades)
 
 
 def grade_documents(docs: DataFrame, model: Model, wanted: int = WANTED_GRADE, keep_probability: float = KEEP_PROBABILITY,

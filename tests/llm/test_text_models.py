@@ -1,5 +1,6 @@
 """Toxicity, quality, URL filter and licence scan: held-out accuracy, edge cases and SQL."""
 import os
+import random
 import textwrap
 import zlib
 
@@ -64,6 +65,27 @@ def test_toxicity_edges(spark, make_docs, odd_rows, clashing):
     assert toxic > plain
 
 
+def test_models_are_fitted_on_whole_texts(spark, make_docs):
+    rnd = random.Random(3)
+    common = [a + b for a in ("ba", "do", "ki", "lu", "me") for b in ("ran", "sil", "tov", "pex", "nam", "gur")]
+    plain = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    # what makes the texts toxic, or junk, stands behind 9,000 characters
+    texts = [(i, f"{plain(1600)} {rnd.choice(['worthless', 'pathetic'])} {plain(60)} {'%%0 ' * 300}" if i % 2 else plain(1900), i % 2) for i in range(800)]
+    assert all(len(t) > 9000 for _, t, _ in texts)
+    docs = make_docs([(i, t) for i, t, _ in texts] + [(None, "x")])
+    labels = spark.createDataFrame([(i, 1 - y, y) for i, _, y in texts], "doc_id long, quality int, toxic int")
+    used = [(t, y) for i, t, y in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = toxicity.fit(docs, labels)
+    assert b" worthless" in model.toxic and b" pathetic" in model.toxic and model == toxicity.fit_texts(used)
+    score = {y: toxicity.probability(model, toxicity.Distance(model).text(t)) for t, y in (("you are worthless", 1), (plain(9), 0))}
+    assert score[0] < 0.3 < score[1]
+    graded = quality.fit(docs, labels.select("doc_id", F.col("quality").alias("grade")), 2)
+    whole = quality.fit_texts([(t, 1 - y) for _, t, y in texts], 2)
+    assert np.allclose(graded.weights, whole.weights, atol=1e-3) and np.allclose(graded.thresholds, whole.thresholds, atol=1e-3)
+    assert quality.tails(graded, texts[0][1])[0] > 0.9 > 0.1 > quality.tails(graded, texts[1][1])[0]
+    assert toxicity.fit(docs, labels.where("toxic = 0")) == toxicity.EMPTY and toxicity.fit(make_docs([]), labels) == toxicity.EMPTY
+
+
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = quality.graded_labels(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
