@@ -14,8 +14,8 @@ from cinegraph.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from cinegraph.llm.common import materialise, read_table
 from cinegraph.session import ship_package
 
-# Documents go at this probability of being toxic or more: a filter keeps what it isn't sure of.
-TOXIC_FROM = 0.5
+# Documents go at this probability of being toxic or more, as op5_toxicity decides.
+TOXIC_FROM = toxicity.THRESHOLD
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

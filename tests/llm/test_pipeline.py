@@ -4,6 +4,8 @@ import random
 import pytest
 from llm_fixtures import make_docs, rows  # noqa: F401
 
+from cinegraph.llm import toxicity
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 SF = "/root/testdata/sf0.01"
@@ -47,3 +49,12 @@ def test_empty_documents(spark, make_docs, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_toxicity_stage_drops_what_the_query_rejects(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for value, left in ((0.4, 0), (0.2, docs.count())):
+        model = toxicity.EMPTY._replace(values=(value,))
+        monkeypatch.setattr(toxicity, "fit", lambda *_, model=model: model)
+        predicted = toxicity.op5_toxicity(spark, "/root/testdata/sf0.001")
+        assert corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001").count() == left == predicted.where("predicted = 0").count()
