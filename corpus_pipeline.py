@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# No stage can be put into SQL; the tests hold the pipeline against a brute-force version.
+# No stage can be put into SQL; the tests judge stages on planted documents, not by brute force.
 ORACLE_SQL = None
 
 
