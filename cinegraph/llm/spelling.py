@@ -1,21 +1,25 @@
 """Spelling variant grouping by a relational trie frontier.
 
 1. Runs of letters are counted in tasks and summed; words are those long and frequent enough.
-2. The words form a trie kept as an edge table (node, first, label, child, target): nodes are
-   64-bit hashes of prefixes, an edge carries the letters up to the next node, and ``target``
-   is the word that ends at the child. Letters where nothing branches are one edge, so the
-   depth of the trie is the number of branchings and not the length of the longest word. A
-   second trie over the reversed words lies in the same table, under another hash seed.
+2. The words, each with an end mark, form a trie kept as an edge table (node, labels): a node is
+   the 64-bit hash of a prefix, a label the letters up to the next node. Letters where nothing
+   branches are one label, so the depth of the trie is the number of branchings and not the
+   length of the longest word. A second trie over the reversed words lies in the same table,
+   under another hash seed.
 3. Two words one edit apart have a common prefix and a common suffix of together at least
    length - 1 code points, so one of them covers the first ``length // 2`` code points or the
    last half. Every word therefore starts at the node of its own first half (in both tries),
-   and may spend its one edit from there on. The frontier of states (word, rest, node, edits)
-   is joined with the edge table, level by level, until it is empty; ``rest`` is the word from
-   its position on. States at a word's end with one edit spent, or one letter left, are hits.
-4. Hits are checked by edit distance on the words themselves, so hash clashes do no harm.
+   and may spend its one edit from there on. The frontier of states (word, position, node,
+   edits) is joined with the edge table, level by level, until it is empty. A state of no edit
+   takes its own letter on, or spends the edit: a greater letter in place of its own, or its own
+   left out (the words on the other side of such pairs need not look for them). What a state of
+   one edit must read from there on is known, its ``goal``; a Bloom filter of all words drops
+   most states whose goal is none, the others walk on, and at an end mark they are neighbours.
+4. Neighbours are joined with the words themselves and checked, so hash clashes do no harm.
 
 A node's children are at most as many as there are letters, whatever the corpus. Which nodes
-branch is told to the tasks by a Bloom filter of bounded size; a false answer only adds a node.
+branch is told to the tasks by a Bloom filter, too; a false answer only adds a node or a state.
+Both filters are bounded in size.
 
 Defined cases: null and empty texts have no runs; a null id counts as the text ``null``;
 repeated rows count again; words of equal counts are chosen by code-point order; a word without
@@ -45,8 +49,9 @@ NOISE = 31
 RATIO = 10
 # Distinct words a task holds before it sends them on.
 HELD_WORDS = 300_000
-# Bits of the Bloom filter of branching nodes: 24 a node, at most 2**28 (32 MB).
-BITS_PER_NODE, MAX_BITS, PROBES = 24, 28, 6
+# Bits of a Bloom filter: 24 a key, at most 2**28 (32 MB).
+BITS_PER_KEY, MAX_BITS, PROBES = 24, 28, 6
+END = "."  # the end mark; it sorts before all letters
 # Frontier rows up to which they are broadcast to the edges.
 SMALL_FRONTIER = 100_000
 
@@ -102,14 +107,26 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counted.where(F.col("n") >= min_count)
 
 
-def prefix_nodes(word: str, low: int, backward: bool) -> list[int]:
-    """Hashes of the prefixes of ``low`` and more code points, as signed 64-bit node ids."""
-    state = xxhash.xxh64(word[:low].encode("utf-8"), seed=1 + backward)
-    out = [state.intdigest()]
-    for c in word[low:]:
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def node_id(prefix: str, backward: bool) -> int:
+    return _signed(xxhash.xxh64_intdigest(prefix.encode("utf-8"), 1 + backward))
+
+
+def word_key(word: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(word.encode("utf-8")))
+
+
+def path_nodes(letters: str, low: int, backward: bool) -> list[int]:
+    """Nodes of the prefixes of ``low`` and more code points."""
+    state = xxhash.xxh64(letters[:low].encode("utf-8"), seed=1 + backward)
+    out = [_signed(state.intdigest())]
+    for c in letters[low:]:
         state.update(c.encode("utf-8"))
-        out.append(state.intdigest())
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
+        out.append(_signed(state.intdigest()))
+    return out
 
 
 def half(length: int, backward: bool) -> int:
@@ -117,44 +134,55 @@ def half(length: int, backward: bool) -> int:
     return (length + 1) // 2 if backward else length // 2
 
 
-def word_id(word: str) -> int:
-    return prefix_nodes(word, len(word), False)[0]
+def turned(word: str, backward: bool) -> str:
+    return word[::-1] if backward else word
 
 
 def _paths(words: list[str]) -> Iterator[tuple[str, int, int, list[int]]]:
-    """(letters, id, first position, nodes from there on) of each word in both directions, from
-    the shortest half of a word at most one code point away."""
+    """(letters, first position, second place to start, nodes from the first position on) of each
+    word in both directions: words as long, and those one code point longer, start there."""
     for word in words:
-        own = word_id(word)
         for backward in (False, True):
-            letters = word[::-1] if backward else word
-            low = half(len(word) - 1, backward)
-            yield letters, own, low, prefix_nodes(letters, low, backward)
+            letters = turned(word, backward)
+            low = half(len(word), backward)
+            yield letters, low, half(len(word) + 1, backward), path_nodes(letters, low, backward)
 
 
 def branching_nodes(words: DataFrame) -> DataFrame:
-    """(node) of the prefixes after which more than one letter (or a word's end) follows."""
+    """(key) of the prefixes after which more than one letter (or a word's end) follows."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, following = [], []
-        for letters, _, low, path in _paths(batch.column(0).to_pylist()):
+        for letters, low, _, path in _paths(batch.column(0).to_pylist()):
             nodes += path
             following += [*map(ord, letters[low:]), 0]
-        return pa.record_batch([pa.array(nodes, pa.int64()), pa.array(following, pa.int32())], names=["node", "following"])
+        return pa.record_batch([pa.array(nodes, pa.int64()), pa.array(following, pa.int32())], names=["key", "following"])
 
-    seen = map_slices(words.select("word"), run, "node long, following int")
-    return seen.groupBy("node").agg(F.min("following").alias("a"), F.max("following").alias("b")).where(
-        F.col("a") != F.col("b")).select("node")
+    seen = map_slices(words.select("word"), run, "key long, following int")
+    return seen.groupBy("key").agg(F.min("following").alias("a"), F.max("following").alias("b")).where(
+        F.col("a") != F.col("b")).select("key")
 
 
-def _probes(nodes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit numbers (one row a node) by double hashing of the 64-bit ids."""
-    x = nodes.view(np.uint64)
+def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Bit numbers (one row a key) by double hashing."""
+    x = keys.view(np.uint64)
     step = (x >> np.uint64(32)) | np.uint64(1)
     return (x[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64((1 << bits) - 1)
 
 
-def bloom_filter(nodes: DataFrame, bits: int) -> bytes:
-    """``2**bits`` bits, gathered word by word: partial ORs in the tasks, then at most 2**(bits - 6) rows."""
+def _in_bloom(bloom: bytes, keys: list[int]) -> np.ndarray:
+    """Which keys may be in the set: all that are, and a few others."""
+    table = np.frombuffer(bloom, np.uint64)
+    if not keys:
+        return np.zeros(0, bool)
+    at = _probes(np.array(keys, np.int64), (len(table) * 64).bit_length() - 1)
+    return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+
+def bloom_filter(keys: DataFrame):
+    """Broadcast filter of the longs in ``key``, gathered word by word: ORs in the tasks, then at
+    most 2**(MAX_BITS - 6) rows of two longs."""
+    bits = min(MAX_BITS, max(10, int(keys.count() * BITS_PER_KEY).bit_length()))
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = np.unique(_probes(batch.column(0).to_numpy(zero_copy_only=False), bits))
         word, first = np.unique(at >> np.uint64(6), return_index=True)
@@ -163,131 +191,129 @@ def bloom_filter(nodes: DataFrame, bits: int) -> bytes:
                                names=["w", "b"])
 
     out = np.zeros(1 << (bits - 6), np.int64)
-    found = nodes.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), "w long, b long").groupBy("w").agg(
+    found = keys.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), "w long, b long").groupBy("w").agg(
         F.bit_or("b").alias("b")).toArrow()
     out[found["w"].to_numpy()] = found["b"].to_numpy()
-    return out.tobytes()
+    return keys.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def edge_table(words: DataFrame) -> DataFrame:
-    """(node, first, label, child, target) of both tries; ``target`` is null where no word ends."""
-    branching = materialise(branching_nodes(words), "trie-nodes")
-    bits = min(MAX_BITS, max(10, int(branching.count() * BITS_PER_NODE).bit_length()))
-    bloom = words.sparkSession.sparkContext.broadcast(bloom_filter(branching, bits))
+    """(node, labels) of both tries: a node's labels, joined by spaces."""
+    bloom = bloom_filter(materialise(branching_nodes(words), "trie-nodes"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = np.frombuffer(bloom.value, np.uint64)
         paths = list(_paths(batch.column(0).to_pylist()))
-        if not paths:
-            return pa.record_batch([[], [], [], [], []], names=["node", "first", "label", "child", "target"])
-        at = _probes(np.concatenate([np.array(p[3], np.int64) for p in paths]), bits)
-        hit = ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
-        rows, base = [], 0
-        for letters, own, low, path in paths:
-            last = len(path) - 1
-            # where words one code point shorter, as long or longer start, where the trie branches, and the end
-            stops = sorted({0, min(1, last), last, *(np.flatnonzero(hit[base:base + last]).tolist())})
+        branches = _in_bloom(bloom.value, [x for p in paths for x in p[3]])
+        nodes, labels, base = [], [], 0
+        for letters, low, second, path in paths:
+            # where words start, where the trie branches, and past the end mark
+            stops = sorted({0, second - low, *np.flatnonzero(branches[base:base + len(path)]).tolist(), len(path)})
             base += len(path)
-            rows += [(path[a], letters[low + a], letters[low + a:low + b], path[b], own if b == last else None)
-                     for a, b in zip(stops, stops[1:])]
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                               names=["node", "first", "label", "child", "target"])
+            marked = letters + END
+            for a, b in zip(stops, stops[1:]):
+                nodes.append(path[a])
+                labels.append(marked[low + a:low + b])
+        return pa.record_batch([pa.array(nodes, pa.int64()), pa.array(labels, pa.string())], names=["node", "label"])
 
-    return map_slices(words.select("word"), run, "node long, first string, label string, child long, target long").distinct()
+    edges = map_slices(words.select("word"), run, "node long, label string")
+    return edges.groupBy("node").agg(F.array_join(F.collect_set("label"), " ").alias("labels"))
+
+
+_STATE = "word string, goal string, at int, backward boolean, node long"
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64())
+    names = ["word", "goal", "at", "backward", "node"]
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def starts(words: DataFrame) -> DataFrame:
-    """The first frontier: every word at the node of its first half, in both tries."""
+    """The first frontier: every word at the node of its first half, in both tries. ``word`` and
+    ``goal`` are in the trie's direction, with the end mark; a state of no edit has no goal."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, rests, nodes = [], [], []
+        rows = []
         for word in batch.column(0).to_pylist():
-            own = word_id(word)
             for backward in (False, True):
-                letters, h = word[::-1] if backward else word, half(len(word), backward)
-                ids.append(own)
-                rests.append(letters[h:])
-                nodes.append(prefix_nodes(letters[:h], h, backward)[0])
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(rests, pa.string()), pa.array(nodes, pa.int64()),
-                                pa.array([0] * len(ids), pa.int32())], names=["word_id", "rest", "node", "edits"])
+                letters, h = turned(word, backward), half(len(word), backward)
+                rows.append((letters + END, None, h, backward, node_id(letters[:h], backward)))
+        return _states(rows)
 
-    return map_slices(words.select("word"), run, "word_id long, rest string, node long, edits int")
+    return map_slices(words.select("word"), run, _STATE)
 
 
-def advance(rest: str, label: str, edits: int) -> list[tuple[str, int]]:
-    """(rest, edits) after an edge, for the ways to read its label with at most one edit in all.
+def advance(word: str, at: int, label: str) -> tuple[bool, list[str]]:
+    """What a state of no edit does along a label: whether it reads all of it, and else the goals
+    it may spend its edit on, which all read the label.
 
-    An edit is made at the first difference only: one made earlier gives a string that the
-    later one gives too. An insertion or deletion right after the label belongs to the next edge.
+    The edit is made at the first difference only: one made earlier gives a string that the later
+    one gives too. One made right after the label belongs to the next label.
     """
-    n = len(label)
-    if edits:
-        return [(rest[n:], 1)] if rest.startswith(label) else []
-    p, most = 0, min(n, len(rest))
-    while p < most and rest[p] == label[p]:
+    p, most = 0, min(len(label), len(word) - at)
+    while p < most and word[at + p] == label[p]:
         p += 1
-    if p == n:
-        return [(rest[n:], 0)]
-    out = []
-    if rest[p + 1:].startswith(label[p + 1:]) and p < len(rest):
-        out.append((rest[n:], 1))                       # replaced
-    if rest[p + 1:].startswith(label[p:]) and p < len(rest):
-        out.append((rest[n + 1:], 1))                   # a letter of the word left out
-    if rest[p:].startswith(label[p + 1:]):
-        out.append((rest[n - 1:], 1))                   # a letter put in
-    return out
-
-
-def _step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """All states and hits after one more edge: (word_id, rest, node, edits, hit)."""
-    met = edges.withColumnRenamed("node", "at").join(
-        frontier, (F.col("at") == F.col("node")) & ((F.col("edits") == 0) | (F.col("first") == F.substring("rest", 1, 1))))
-
+    if p == len(label):
+        return True, []
+    own, goals = word[at + p], []
+    if own != END:
+        if label[p] > own:
+            goals.append(word[:at + p] + label[p] + word[at + p + 1:])
+        goals.append(word[:at + p] + word[at + p + 1:])
+    return False, [g for g in goals if g.startswith(label, at)]
+
+
+def _step(frontier: DataFrame, edges: DataFrame, bloom) -> DataFrame:
+    """The frontier after one more label. Neighbours found have no ``node``; their ``word`` and
+    ``goal`` are turned back, without end marks."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, rests, nodes, spent, hits = [], [], [], [], []
-        for own, rest, edits, label, child, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for left, used in advance(rest, label, edits):
-                # the word's end with one edit spent, or with one letter left over to leave out
-                hit = target if target is not None and target != own and len(left) + used == 1 else None
-                if hit is None and used and not left:
+        out, tried, keys = [], [], []
+
+        def on(word: str, goal: str | None, at: int, backward: bool) -> None:
+            if goal is not None and at == len(goal):
+                out.append((turned(word[:-1], backward), turned(goal[:-1], backward), at, backward, None))
+            else:
+                out.append((word, goal, at, backward, node_id((goal or word)[:at], backward)))
+
+        for word, goal, at, backward, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for label in labels.split(" "):
+                if goal is not None:
+                    if goal.startswith(label, at):
+                        on(word, goal, at + len(label), backward)
                     continue
-                ids.append(own)
-                rests.append(left)
-                nodes.append(child)
-                spent.append(used)
-                hits.append(hit)
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(rests, pa.string()), pa.array(nodes, pa.int64()),
-                                pa.array(spent, pa.int32()), pa.array(hits, pa.int64())],
-                               names=["word_id", "rest", "node", "edits", "hit"])
+                reads, goals = advance(word, at, label)
+                if reads and at + len(label) < len(word):
+                    on(word, None, at + len(label), backward)
+                for g in goals:
+                    tried.append((word, g, at + len(label), backward))
+                    keys.append(word_key(turned(g[:-1], backward)))
+        for i in np.flatnonzero(_in_bloom(bloom.value, keys)).tolist():
+            on(*tried[i])
+        return _states(out)
 
-    return map_slices(met.select("word_id", "rest", "edits", "label", "child", "target"), run,
-                      "word_id long, rest string, node long, edits int, hit long")
+    met = frontier.join(edges, "node").select("word", "goal", "at", "backward", "labels")
+    return map_slices(met, run, _STATE)
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): every ordered pair of words one edit apart; ``words`` is a written table."""
+    keys = map_slices(words.select("word"), lambda b: pa.record_batch(
+        [pa.array(list(map(word_key, b.column(0).to_pylist())), pa.int64())], names=["key"]), "key long")
+    bloom = bloom_filter(materialise(keys, "word-keys"))
     edges = materialise(edge_table(words), "trie-edges")
     frontier = materialise(starts(words), "frontier")
-    hits = None
-    while True:
-        n = frontier.count()
-        if not n:
-            break
-        after = materialise(_step(bounded_broadcast(frontier, n, SMALL_FRONTIER), edges), "frontier")
-        found = after.where(F.col("hit").isNotNull()).select("word_id", "hit")
-        hits = found if hits is None else hits.unionByName(found)
-        # a state of no edit goes on even if it hit: longer words may lie below
-        frontier = after.where(~(F.col("edits").eqNullSafe(1) & (F.col("rest") == ""))).drop("hit")
-    named = words.select(F.col("word"), F.col("n"))
-    if hits is None:
-        return named.select("word", "n", F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n")).limit(0)
-    with_id = materialise(map_slices(named, lambda b: pa.record_batch(
-        [pa.array([word_id(w) for w in b.column(0).to_pylist()], pa.int64()), b.column(0), b.column(1)],
-        names=["id", "word", "n"]), "id long, word string, n long"), "word-ids")
-    own = with_id.select(F.col("id").alias("word_id"), "word", "n")
-    other = with_id.select(F.col("id").alias("hit"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = hits.distinct().join(own, "word_id").join(other, "hit")
-    return pairs.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n").distinct()
+    found = []
+    while n := frontier.count():
+        after = materialise(_step(bounded_broadcast(frontier, n, SMALL_FRONTIER), edges, bloom), "frontier")
+        found.append(after.where(F.col("node").isNull()).select("word", F.col("goal").alias("near")))
+        frontier = after.where(F.col("node").isNotNull())
+    pairs = found[0] if found else words.select("word", F.col("word").alias("near")).limit(0)
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = pairs.where(F.levenshtein("word", "near", 1) == 1).distinct()
+    other = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
+    once = materialise(pairs.join(words, "word").join(other, "near").select("word", "n", "near", "near_n"), "near-words")
+    return once.unionByName(once.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"),
+                                        F.col("n").alias("near_n")))
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,

@@ -94,11 +94,11 @@ def test_spelling_empty_and_clashing(make_docs, clashing):
     assert found_variants(make_docs([(1, None), (2, ""), (3, "short words only")])) == []
 
 
-@pytest.mark.parametrize("word, label, want", [
-    ("abc", "abc", [("", 0)]), ("abcd", "abx", [("d", 1), ("cd", 1)]), ("abcd", "acd", [("", 1)]), ("bc", "abc", [("", 1)]),
-    ("", "a", [("", 1)]), ("", "ab", []), ("xyz", "ab", []), ("aab", "aa", [("b", 0)])])
-def test_advance(word, label, want):
-    assert spelling.advance(word, label, 0) == want
+@pytest.mark.parametrize("word, at, label, reads, goals", [
+    ("xabc.", 1, "abc", True, []), ("xabcd.", 1, "abx", False, ["xabxd."]), ("xabcd.", 1, "acd", False, ["xaccd.", "xacd."][1:]),
+    ("xbc.", 1, "abc", False, []), ("x.", 1, "a", False, []), ("xa.", 1, ".", False, ["x."]), ("xaab.", 1, "aa", True, [])])
+def test_advance(word, at, label, reads, goals):
+    assert spelling.advance(word, at, label) == (reads, goals)
 
 
 # ---------------------------------------------------------------- BPE
