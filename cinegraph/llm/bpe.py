@@ -28,6 +28,7 @@ ordinary text; empty tables give empty results; extra columns are ignored, whate
 from __future__ import annotations
 
 import base64
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -40,8 +41,8 @@ from cinegraph.llm.pieces import tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Transitions and whole pieces that a worker remembers.
-MAX_TRANSITIONS = 300_000
-MAX_PIECES = 150_000
+MAX_TRANSITIONS = 600_000
+MAX_PIECES = 300_000
 # A rank past all ranks.
 NEVER = 1 << 62
 
@@ -248,6 +249,8 @@ def incomplete_tail(data: bytes) -> int:
 
 @lru_cache(maxsize=2)
 def _vocabulary(path: str) -> tuple[Transducer, StreamDecoder, BoundedCache]:
+    # states are many small tuples without cycles: let the collector look at them less often
+    gc.set_threshold(100_000, 20, 100)
     made = Transducer(read_ranks(path))
 
     def packed(piece: str) -> bytes:

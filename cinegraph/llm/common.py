@@ -40,6 +40,11 @@ def ascii_lower(col):
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
 
 
+def text_key(col):
+    """A long that tells rows of one id with different texts apart (null texts are empty)."""
+    return F.xxhash64(F.coalesce(col, F.lit("")))
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str) -> DataFrame:
     """``mapInArrow`` that hands ``fn`` at most SLICE_ROWS rows at a time.
 

@@ -11,10 +11,14 @@ marked as a tile, a partly marked match is cut to its unmarked stretches, and so
 ``min_match``. What share of the item's words lies in tiles is its coverage: passages whose
 parts were put in another order are covered as well as verbatim ones.
 
-Defined cases: null and empty texts match nothing; items of fewer than ``min_match`` words
-(null ones too) are never matched; equal items are separate; of equally covered items the
-one with the smaller id is reported; rows that repeat an id share one result; a null id is
-judged like any other; empty tables give empty results or no match; extra columns are
+An item of fewer than ``min_match`` words has no such run. It is matched where a document holds
+exactly its words as a line of its own, or as its whole text; inside longer lines a few words in
+a row are everyday language.
+
+Defined cases: null and empty texts match nothing, and items without words are never matched;
+equal items are separate; of equally covered items the
+one with the smaller id is reported; rows that repeat an id are judged each by its
+text, and reported together; a null id is judged like any other; empty tables give empty results or no match; extra columns are
 ignored, whatever their names.
 """
 
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import BoundedCache, fixed_bitmap, in_bitmap, keep_only, map_slices, materialise, read_table
+from cinegraph.llm.common import BoundedCache, fixed_bitmap, in_bitmap, keep_only, map_slices, materialise, read_table, text_key
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -106,8 +111,25 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list
     return out
 
 
+def whole_hash(words: np.ndarray) -> int:
+    """Hash of a short item or line as a whole, apart from those of runs."""
+    return int(run_hashes(words, len(words))[0] ^ np.uint64(len(words) * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF))
+
+
+def short_lines(text: str | None, min_match: int) -> set[int]:
+    """Whole hashes of the lines of fewer than ``min_match`` words, and of such a text."""
+    out = set()
+    for part in {text, *text.split("\n")} if text else ():
+        # the regular expression stops at the first word too many
+        if 0 < sum(1 for _ in islice(_WORD.finditer(part), min_match)) < min_match:
+            words = word_hashes(part)
+            if 0 < len(words) < min_match:
+                out.add(whole_hash(words))
+    return out
+
+
 def seed_table(benchmark: DataFrame, item_col: str, text_col: str, min_match: int) -> DataFrame:
-    """(item, pos, n_words, seed) of every run of ``min_match`` words of every item."""
+    """(item, pos, n_words, seed) of every run of ``min_match`` words of every item, and of shorter items as a whole."""
     source = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> list:
@@ -115,6 +137,8 @@ def seed_table(benchmark: DataFrame, item_col: str, text_col: str, min_match: in
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = word_hashes(text)
             rows += [(item, p, len(words), s) for p, s in enumerate(run_hashes(words, min_match).view(np.int64).tolist())]
+            if 0 < len(words) < min_match:
+                rows.append((item, 0, len(words), int(np.uint64(whole_hash(words)).view(np.int64))))
         if not rows:
             return []
         return [pa.record_batch([pa.array(c, k) for c, k in zip(
@@ -125,72 +149,87 @@ def seed_table(benchmark: DataFrame, item_col: str, text_col: str, min_match: in
 
 
 def shared_seeds(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str, min_match: int) -> DataFrame:
-    """(id, seed): the distinct runs of each document that the seeds' bit set lets by."""
+    """(id, text_key, seed): the distinct runs (and short lines, if there are short items) of each
+    document that the seeds' bit set lets by."""
     sieve = fixed_bitmap(seeds.select("seed"), "seed", SIEVE_BITS)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    any_short = not seeds.where(F.col("n_words") < min_match).isEmpty()
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                         text_key(F.col(text_col)).alias("text_key"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bitmap = np.frombuffer(sieve, np.uint64)
-        ids, found = [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        ids, keys, found = [], [], []
+        for doc, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             runs = run_hashes(word_hashes(text), min_match)
+            if any_short:
+                runs = np.concatenate((runs, np.fromiter(short_lines(text, min_match), np.uint64)))
             hit = np.unique(runs[in_bitmap(bitmap, runs)]).view(np.int64).tolist()
             ids += [doc] * len(hit)
+            keys += [key] * len(hit)
             found += hit
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["id", "seed"])
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.int64())],
+                               names=["id", "text_key", "seed"])
 
-    return map_slices(source, run, "id long, seed long")
+    return map_slices(source, run, "id long, text_key long, seed long")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH,
             threshold: float = THRESHOLD) -> DataFrame:
-    """(id, item, coverage, n_tiles) of all pairs that reach the threshold."""
+    """(id, text_key, item, coverage, n_tiles) of all pairs that reach the threshold."""
     seeds = materialise(seed_table(benchmark, item_col, item_text_col, min_match), "benchmark-seeds")
     shared = shared_seeds(docs, seeds, id_col, text_col, min_match).join(seeds, "seed")
     reach = F.size(F.array_distinct(F.flatten(F.transform(
         F.collect_set("pos"), lambda p: F.sequence(p, p + F.lit(min_match - 1))))))
-    pairs = shared.groupBy("id", "item").agg(reach.alias("reach"), F.first("n_words").alias("n_words")).where(
-        F.col("reach") >= F.lit(threshold) * F.col("n_words")).select(F.col("id").alias("pair_id"), "item")
+    pairs = shared.groupBy("id", "text_key", "item").agg(reach.alias("reach"), F.first("n_words").alias("n_words")).where(
+        F.col("reach") >= F.lit(threshold) * F.col("n_words")).select(F.col("id").alias("pair_id"), F.col("text_key").alias("pair_key"), "item")
     pairs = materialise(pairs, "benchmark-pairs")
     small = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("doc_text")).join(
-        F.broadcast(pairs) if small else pairs, F.col("id").eqNullSafe(F.col("pair_id")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("doc_text"),
+                        text_key(F.col(text_col)).alias("text_key")).join(
+        F.broadcast(pairs) if small else pairs,
+        F.col("id").eqNullSafe(F.col("pair_id")) & (F.col("text_key") == F.col("pair_key")))
     items = benchmark.select(F.col(item_col).cast("long").alias("bench_item"), F.col(item_text_col).alias("item_text"))
-    both = texts.join(items, F.col("item").eqNullSafe(F.col("bench_item"))).select("id", "item", "doc_text", "item_text")
+    both = texts.join(items, F.col("item").eqNullSafe(F.col("bench_item"))).select("id", "text_key", "item", "doc_text", "item_text")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, item, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, key, item, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = word_hashes(y)
+            if len(words) < min_match:
+                same = whole_hash(words) in short_lines(x, min_match) if len(words) else False
+                rows.append((doc, key, item, float(same), int(same)))
+                continue
             found = tiles(word_hashes(x), words, min_match)
-            rows.append((doc, item, sum(n for _, _, n in found) / max(1, len(words)), len(found)))
+            rows.append((doc, key, item, sum(n for _, _, n in found) / len(words), len(found)))
         return pa.record_batch([pa.array(c, k) for c, k in zip(
-            zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)],
-            names=["id", "item", "coverage", "n_tiles"])
+            zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)],
+            names=["id", "text_key", "item", "coverage", "n_tiles"])
 
-    return map_slices(both, verify, "id long, item long, coverage double, n_tiles int").where(
+    return map_slices(both, verify, "id long, text_key long, item long, coverage double, n_tiles int").where(
         F.col("coverage") >= threshold)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """One row per contaminated id: id, item (best covered), coverage, n_items."""
+    """One row per contaminated text of an id: id, text_key, item (best covered), coverage, n_items."""
     found = materialise(matches(docs, benchmark, **params), "benchmark-matches")
     best = F.max(F.struct(F.col("coverage"), (-F.col("item")).alias("low")))
-    return found.groupBy("id").agg(best.alias("best"), F.countDistinct("item").alias("n_items")).select(
-        "id", (-F.col("best.low")).alias("item"), F.col("best.coverage").alias("coverage"), "n_items")
+    return found.groupBy("id", "text_key").agg(best.alias("best"), F.countDistinct("item").alias("n_items")).select(
+        "id", "text_key", (-F.col("best.low")).alias("item"), F.col("best.coverage").alias("coverage"), "n_items")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """``docs`` without the contaminated rows; columns are unchanged."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **params).select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """``docs`` without the contaminated rows, judged by id and text; columns are unchanged."""
+    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **params).select(
+        F.col("id").alias("__bad"), F.col("text_key").alias("__key"))
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad")) & (text_key(docs[text_col]) == F.col("__key")),
+                     "left_anti")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     bad = contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    ids = docs.select("doc_id")
-    return ids.join(bad, ids.doc_id.eqNullSafe(bad.id), "left").select(
+    ids = docs.select("doc_id", text_key(F.col("text")).alias("key"))
+    return ids.join(bad, ids.doc_id.eqNullSafe(bad.id) & (ids.key == bad.text_key), "left").select(
         "doc_id", F.col("coverage").isNotNull().alias("contaminated"), F.col("item").alias("item_id"),
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_items", F.lit(0)).alias("n_items"))

@@ -1,13 +1,13 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines (stripped, lower-cased, blank ones set aside) that are equal or within ``distance``
-edits of each other form classes; of each class the first line stays, by document id and
-line number.
-
-Equal lines are grouped by digest. For near lines (of ``min_chars`` characters and more),
-every line is cut into ``distance + 1`` segments. If two lines are within ``distance``
-edits, one segment of the shorter occurs in the other at a position that the segment's
-number and the lengths confine. So lines are indexed by (length, segment number, segment),
+Lines (stripped, lower-cased, blank ones set aside) that are equal or near form classes; of
+each class the first line stays, by document id and line number. Two lines are near within a
+tenth of the shorter one's characters, and at most ``edits`` edits: none below 10 characters,
+one below 20.
+
+Equal lines are grouped by digest. For near lines, every line is cut into one segment more
+than its edits. If two lines are near, one segment of the shorter occurs in the other at a
+position that the segment's number and the lengths confine. So lines are indexed by (length, segment number, segment),
 and probe the indexes of their own and the next shorter lengths at those positions only;
 an equality join brings candidates together. A parity signature of the characters (an edit
 flips at most two bits) drops chance candidates inside the join, before a pair is made; the
@@ -17,7 +17,9 @@ A segment shared by very many lines is a hot key: copies of a line count once, a
 signature keeps its chance pairs from being emitted.
 
 Defined cases: null and empty texts have no lines; in one document a repeated line counts
-once, its first; rows that repeat an id share their lines' fate; a null id is last: its
+once, its first; documents are told apart by id and text: rows that repeat an id with another
+text are other documents, ordered by a hash of the text, and rows that repeat both share their
+lines' fate; a null id is last: its
 lines stay only where no other document has them; an empty table gives an empty result;
 extra columns are ignored, whatever their names. A document that loses all its lines goes.
 """
@@ -33,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import SLICE_ROWS, fixed_bitmap, in_bitmap, keep_only, map_slices, materialise, read_table
+from cinegraph.llm.common import SLICE_ROWS, fixed_bitmap, in_bitmap, keep_only, map_slices, materialise, read_table, text_key
 from cinegraph.llm.components import connected_components
 
 MAX_EDITS = 2
-# Two edits leave less than nine tenths of a shorter line alike.
-MIN_CHARS = 24
+# Characters of the shorter line for each edit.
+CHARS_PER_EDIT = 10
 SIEVE_BITS = 23
 # Lines that a task remembers having sent.
 MET_LINES = 500_000
@@ -60,6 +62,11 @@ def signature(line: str) -> int:
     return int(np.bitwise_xor.reduce(_PARITY[points & 63])) if len(points) else 0
 
 
+def allowed(length: int, edits: int) -> int:
+    """Edits within which a line is near, if it is the shorter of two."""
+    return min(edits, length // CHARS_PER_EDIT)
+
+
 def segment_bounds(length: int, edits: int) -> list[tuple[int, int]]:
     """(start, stop) of the edits + 1 segments of a line; the last ones take what doesn't divide."""
     n = edits + 1
@@ -77,15 +84,17 @@ def probe_spans(length: int, edits: int) -> list[tuple[int, int, int, int]]:
     lines no longer than itself, other than its own segments.
 
     With segment i at p, and d = length - index length, a match leaves at most i edits before
-    it and edits - i after it (segments before and after each holding one), which bounds the
+    it and the rest after it (segments before and after each holding one), which bounds the
     shift.
     """
     spans = []
-    for shorter in range(max(edits + 1, length - edits), length + 1):
-        d = length - shorter
-        for i, (p, stop) in enumerate(segment_bounds(shorter, edits)):
-            low = max(p - i, p + d - (edits - i), 0)
-            high = min(p + i, p + d + (edits - i), length - (stop - p))
+    for shorter in range(max(1, length - edits), length + 1):
+        d, most = length - shorter, allowed(shorter, edits)
+        if not most or d > most:
+            continue
+        for i, (p, stop) in enumerate(segment_bounds(shorter, most)):
+            low = max(p - i, p + d - (most - i), 0)
+            high = min(p + i, p + d + (most - i), length - (stop - p))
             spans += [(shorter, i, q, q + stop - p) for q in range(low, high + 1) if d or q != p]
     return spans
 
@@ -147,27 +156,30 @@ def edit_distance_within(a: str, b: str, limit: int) -> int | None:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, again, digest) of every line that isn't blank; ``again``: a line of the same document is equal."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, text_key, line_no, again, digest) of every line that isn't blank; ``again``: a line of the same document is equal."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                         text_key(F.col(text_col)).alias("text_key"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep_only()
-        ids, numbers, again, digests = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        ids, keys, numbers, again, digests = [], [], [], [], []
+        for doc, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             seen: set[bytes] = set()
             for number, line in enumerate((text or "").split("\n")):
                 body = normalise(line)
                 if body:
                     d = digest(body)
                     ids.append(doc)
+                    keys.append(key)
                     numbers.append(number)
                     again.append(d in seen)
                     digests.append(d)
                     seen.add(d)
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(again, pa.bool_()),
-                                pa.array(digests, pa.binary())], names=["id", "line_no", "again", "digest"])
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()),
+                                pa.array(again, pa.bool_()), pa.array(digests, pa.binary())],
+                               names=["id", "text_key", "line_no", "again", "digest"])
 
-    return map_slices(source, run, "id long, line_no int, again boolean, digest binary")
+    return map_slices(source, run, "id long, text_key long, line_no int, again boolean, digest binary")
 
 
 def line_key(body: str) -> int:
@@ -176,7 +188,7 @@ def line_key(body: str) -> int:
     return key - (1 << 64) if key >= 1 << 63 else key
 
 
-def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
+def segment_keys(docs: DataFrame, text_col: str, edits: int) -> DataFrame:
     """(key, line, sig, own): the index keys (``own``) and the other probe keys of all lines.
 
     A task sends a line it has met lately no second time, so a line of very many copies is a
@@ -187,51 +199,52 @@ def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int) ->
         hashed = xxhash.xxh64_intdigest
         spans: dict[int, list] = {}
         met: set[int] = set()
-        n_own = edits + 1
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
-                keys, lines, sigs, sizes = [], [], [], []
+                keys, lines, sigs, sizes, owns = [], [], [], [], []
                 for text in batch.column(0).slice(start, SLICE_ROWS).to_pylist():
                     for raw in (text or "").split("\n"):
                         body = normalise(raw)
                         n = len(body)
-                        if n < min_chars:
-                            continue
+                        here = spans.get(n)
+                        if here is None:
+                            most = allowed(n, edits)
+                            own = [(n << 8 | i, a, b) for i, (a, b) in enumerate(segment_bounds(n, most))] if most else []
+                            here = spans[n] = (len(own), own + [(length << 8 | i, a, b) for length, i, a, b in probe_spans(n, edits)])
+                        n_own, here = here
+                        if not here:
+                            continue  # too short to be near another line; equal ones meet by digest
                         line = line_key(body)
                         if line in met:
                             continue
                         if len(met) >= MET_LINES:
                             met.clear()
                         met.add(line)
-                        here = spans.get(n)
-                        if here is None:
-                            here = spans[n] = [(n << 8 | i, a, b) for i, (a, b) in enumerate(segment_bounds(n, edits))] + [
-                                (length << 8 | i, a, b) for length, i, a, b in probe_spans(n, edits)]
                         keys += [hashed(body[a:b], seed) for seed, a, b in here]
                         lines.append(line)
                         sigs.append(signature(body))
                         sizes.append(len(here))
+                        owns.append(n_own)
                 if not keys:
                     continue
                 ends = np.cumsum(sizes)
                 rank = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
                 yield pa.record_batch([
                     pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(lines, np.int64), sizes)),
-                    pa.array(np.repeat(np.array(sigs, np.uint32).view(np.int32), sizes)), pa.array(rank < n_own)],
+                    pa.array(np.repeat(np.array(sigs, np.uint32).view(np.int32), sizes)), pa.array(rank < np.repeat(owns, sizes))],
                     names=["key", "line", "sig", "own"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, line long, sig int, own boolean")
 
 
-def candidate_lines(docs: DataFrame, text_col: str = "text", edits: int = MAX_EDITS,
-                    min_chars: int = MIN_CHARS) -> DataFrame:
+def candidate_lines(docs: DataFrame, text_col: str = "text", edits: int = MAX_EDITS) -> DataFrame:
     """Pairs (a, b) of line keys, a < b, that share a segment and may be near.
 
     The keys are dealt once. Most occur in one line only; those go before anything is paired,
     and what is left, written, is small. The join's exchanges are Spark's own, so that adaptive
     execution may split a hot segment's partition.
     """
-    keys = segment_keys(docs, text_col, edits, min_chars).where(F.col("key").isNotNull()).repartition("key")
+    keys = segment_keys(docs, text_col, edits).where(F.col("key").isNotNull()).repartition("key")
     live = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("own").alias("indexed"),
                                    F.count("sig").alias("n")).where(
         F.col("indexed") & (F.col("low") != F.col("high")) & (F.col("n") > 1)).select(F.col("key").alias("k"))
@@ -248,14 +261,13 @@ def candidate_lines(docs: DataFrame, text_col: str = "text", edits: int = MAX_ED
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame, min_chars: int) -> DataFrame:
+def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """(line, body) of the lines whose key is in ``wanted`` (column ``line``)."""
     sieve = fixed_bitmap(wanted, "line", SIEVE_BITS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bitmap = np.frombuffer(sieve, np.uint64)
-        bodies = list({b for t in batch.column(0).to_pylist() for b in map(normalise, (t or "").split("\n"))
-                       if len(b) >= min_chars})
+        bodies = list({b for t in batch.column(0).to_pylist() for b in map(normalise, (t or "").split("\n")) if b})
         lines = np.array([line_key(b) for b in bodies], np.int64)
         hit = np.flatnonzero(in_bitmap(bitmap, lines.view(np.uint64))) if bodies else []
         return pa.record_batch([pa.array([int(lines[i]) for i in hit], pa.int64()),
@@ -265,18 +277,18 @@ def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame, min_chars: int)
     return found.distinct().join(wanted, "line", "left_semi")
 
 
-def near_links(docs: DataFrame, text_col: str = "text", edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_links(docs: DataFrame, text_col: str = "text", edits: int = MAX_EDITS) -> DataFrame:
     """Verified links (a, b, edits) between digests of different lines."""
-    pairs = materialise(candidate_lines(docs, text_col, edits, min_chars), "line-candidates")
+    pairs = materialise(candidate_lines(docs, text_col, edits), "line-candidates")
     wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    texts = materialise(_texts_of(docs, text_col, materialise(wanted, "line-wanted"), min_chars), "line-texts")
+    texts = materialise(_texts_of(docs, text_col, materialise(wanted, "line-wanted")), "line-texts")
     left = texts.select(F.col("line").alias("a"), F.col("body").alias("x"))
     right = texts.select(F.col("line").alias("b"), F.col("body").alias("y"))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b, d = [], [], []
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = edit_distance_within(x, y, edits)
+            n = edit_distance_within(x, y, allowed(min(len(x), len(y)), edits))
             if n is not None:
                 a.append(digest(x))
                 b.append(digest(y))
@@ -288,29 +300,28 @@ def near_links(docs: DataFrame, text_col: str = "text", edits: int = MAX_EDITS,
     return map_slices(both, verify, "a binary, b binary, edits int")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS,
-                 min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line that isn't blank: id, line_no, class_id and class_line (the document and
-    line that stay for its class), n_links (near lines of its text), kept."""
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS) -> DataFrame:
+    """One row per line that isn't blank: id, text_key, line_no, class_id, class_key and class_line
+    (the document, by id and text, and the line that stay for its class), n_links (near lines of
+    its text), kept."""
     rows = materialise(line_table(docs, id_col, text_col), "lines")
-    firsts = materialise(
-        rows.where(~F.col("again")).groupBy("digest")
-        .agg(F.min("id").alias("first_id"), F.min_by("line_no", "id").alias("first_line")), "line-firsts")
-    links = materialise(near_links(docs, text_col, edits, min_chars), "line-links")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"), F.col("line_no"))
+    firsts = materialise(rows.where(~F.col("again")).groupBy("digest").agg(F.min(order).alias("first")), "line-firsts")
+    links = materialise(near_links(docs, text_col, edits), "line-links")
     degree = links.select(F.col("a").alias("digest")).unionByName(links.select(F.col("b").alias("digest"))).groupBy(
         "digest").agg(F.count("*").alias("n_links"))
     roots = connected_components(links.select("a", "b")).join(
         degree.withColumnRenamed("digest", "node"), "node").select(F.col("node").alias("digest"), "root", "n_links")
     members = materialise(firsts.join(roots, "digest"), "line-members")
-    order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("first_line"))
-    heads = members.groupBy("root").agg(F.min(order).alias("head")).select(
-        "root", F.col("head.first_id").alias("class_id"), F.col("head.first_line").alias("class_line"))
-    settled = members.join(heads, "root").select("digest", "class_id", "class_line", "n_links").unionByName(
+    heads = members.groupBy("root").agg(F.min("first").alias("head"))
+    settled = members.join(heads, "root").select("digest", "head", "n_links").unionByName(
         firsts.join(roots.select("digest"), "digest", "left_anti").select(
-            "digest", F.col("first_id").alias("class_id"), F.col("first_line").alias("class_line"),
-            F.lit(0).cast("long").alias("n_links")))
-    stays = ~F.col("again") & F.col("id").eqNullSafe(F.col("class_id")) & F.col("line_no").eqNullSafe(F.coalesce("class_line", "line_no"))
-    return rows.join(settled, "digest").select("id", "line_no", "class_id", "class_line", "n_links", stays.alias("kept"))
+            "digest", F.col("first").alias("head"), F.lit(0).cast("long").alias("n_links")))
+    stays = (~F.col("again") & F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_key") == F.col("head.text_key"))
+             & (F.col("line_no") == F.col("head.line_no")))
+    return rows.join(settled, "digest").select(
+        "id", "text_key", "line_no", F.col("head.id").alias("class_id"), F.col("head.text_key").alias("class_key"),
+        F.col("head.line_no").alias("class_line"), "n_links", stays.alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
@@ -318,10 +329,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` without the lines that don't stay, and without documents that lose all their
     lines; columns are unchanged, ``length_col`` (if given) follows the text's length."""
     lines = line_classes(docs, id_col, text_col, **params)
-    lost = materialise(lines.where(~F.col("kept")).groupBy("id").agg(F.collect_set("line_no").alias("__lost"))
-                       .withColumnRenamed("id", "__lost_id"), "lost-lines")
+    lost = materialise(lines.where(~F.col("kept")).groupBy("id", "text_key").agg(F.collect_set("line_no").alias("__lost"))
+                       .withColumnsRenamed({"id": "__lost_id", "text_key": "__lost_key"}), "lost-lines")
     names, schema = docs.columns, docs.schema
-    joined = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__lost_id")), "left").drop("__lost_id")
+    joined = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__lost_id"))
+                       & (text_key(docs[text_col]) == F.col("__lost_key")), "left").drop("__lost_id", "__lost_key")
     at = names.index(text_col)
     size_at = names.index(length_col) if length_col else None
 
@@ -350,4 +362,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return line_classes(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return line_classes(read_table(spark, sf_dir, "documents")).drop("text_key", "class_key").withColumnRenamed("id", "doc_id")

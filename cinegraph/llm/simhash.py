@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import keep_only, map_slices, materialise, read_table
+from cinegraph.llm.common import keep_only, map_slices, materialise, read_table, text_key
 from cinegraph.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -62,15 +62,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = HASH_S
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp long) of every row; fp holds the unsigned bits."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, text_key, fp long) of every row; fp holds the unsigned bits."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                         text_key(F.col(text_col)).alias("text_key"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep_only()
         fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-        return pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["id", "text_key", "fp"])
 
-    return map_slices(source, run, "id long, fp long")
+    return map_slices(source, run, "id long, text_key long, fp long")
 
 
 def _layout(distance: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -116,7 +117,7 @@ def similar_pairs(classes: DataFrame, distance: int = MAX_DISTANCE, bucket_limit
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
                    distance: int = MAX_DISTANCE, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row per input row: id, fp (long), component_id (least id of the linked group)."""
+    """One row per input row: id, text_key, fp (long), component_id (least id of the linked group)."""
     rows = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = materialise(rows.groupBy("fp").agg(F.min("id").alias("low_id")), "fp-classes")
     roots = connected_components(similar_pairs(classes, distance, bucket_limit))
@@ -124,18 +125,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "fp", "low_id", F.coalesce("root", "fp").alias("root"))
     lows = linked.groupBy("root").agg(F.min("low_id").alias("component_id"))
     by_fp = materialise(linked.join(lows, "root").select("fp", "component_id"), "fp-components")
-    return rows.join(by_fp, "fp").select("id", "fp", "component_id")
+    return rows.join(by_fp, "fp").select("id", "text_key", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` without the rows whose id isn't the least of its group; columns are unchanged.
+    """``docs`` without the rows whose id isn't the least of their own group; columns are unchanged.
 
-    Rows that repeat the least id all stay; a row with a null id stays only if its whole
-    group has none.
+    Rows are judged by id and text: of rows that share an id, one with another text has its own
+    group. Rows that repeat the least id with texts of the same group all stay; a row with a null
+    id stays only if its whole group has none.
     """
     groups = simhash_groups(docs, id_col, text_col, **params)
-    gone = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(
+        F.col("id").alias("__gone"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (text_key(docs[text_col]) == F.col("__key")),
+                     "left_anti")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
