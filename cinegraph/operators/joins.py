@@ -48,60 +48,3 @@ def top_k(df: DataFrame, group_cols: list[str], order_cols: list[Column], k: int
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     ranked = df.withColumn(rank_col, F.row_number().over(w))
     return ranked if k is None else ranked.where(F.col(rank_col) <= k)
-
-
-# Rows per join key above which the key's rows are spread over SALT_BUCKETS tasks.
-HOT_KEY_ROWS = 200_000
-SALT_BUCKETS = 32
-
-
-# Keys with fewer rows than this are never stored in a degree table (bounds its size).
-DEGREE_FLOOR = 1_000
-
-
-def key_degrees(df: DataFrame, key: str, floor: int | None = None) -> DataFrame:
-    """(key, n) for keys with more than ``floor`` rows: a build-time table, at most
-    rows/floor entries, from which any hot-key threshold >= floor can be read."""
-    floor = DEGREE_FLOOR if floor is None else floor
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor)
-
-
-def hot_keys(df: DataFrame, key: str, threshold: int | None = None) -> DataFrame:
-    """Keys carrying more than ``threshold`` rows (a partial + final count per key). There
-    are at most rows/threshold of them."""
-    threshold = HOT_KEY_ROWS if threshold is None else threshold
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold)
-            .select(key))
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, threshold: int | None = None,
-                buckets: int | None = None, degrees: DataFrame | None = None) -> DataFrame:
-    """Inner equi-join on ``key`` that splits hot keys.
-
-    Rows of ``right`` under a hot key get a salt from a hash of the row; rows of ``left``
-    under a hot key are repeated once per salt; the join runs on (key, salt). A key holding
-    a third of ``right`` is then spread over ``buckets`` tasks. Cold keys keep salt 0 and
-    are not repeated. The hot-key list is broadcast only when its size is within bound;
-    otherwise the plain join runs and AQE's skew-join split applies. ``degrees``
-    (``key_degrees`` of ``right``, built once) replaces the per-call hot-key aggregation.
-    """
-    buckets = SALT_BUCKETS if buckets is None else buckets
-    threshold = HOT_KEY_ROWS if threshold is None else threshold
-    if degrees is not None and threshold >= DEGREE_FLOOR:
-        # precomputed degrees of ``right`` (build time): no pass over the large side here
-        hot = degrees.where(F.col("n") > threshold).select(key)
-    else:
-        hot = hot_keys(right, key, threshold)
-    n_hot = count_upto(hot, MAX_BROADCAST_ROWS)
-    if not n_hot:                     # no hot key, or too many to list: plain join + AQE
-        return left.join(right, key)
-    hb = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    rcols = [c for c in right.columns]
-    r = (right.join(hb, key, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rcols), F.lit(buckets)))
-                     .otherwise(F.lit(0).cast("bigint")))
-         .drop("_hot"))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))) \
-        .otherwise(F.array(F.lit(0).cast("bigint")))
-    lft = left.join(hb, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return lft.join(r, [key, "_salt"]).drop("_salt")

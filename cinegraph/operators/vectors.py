@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from typing import Callable
 
 import numpy as np
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,11 @@ from cinegraph.functions.text import make_doc
 from cinegraph.functions.vector import l2_norm
 
 
+# Rows the default encoder holds as dense vectors, and terms whose hash it remembers.
+ENCODER_ROWS = 256
+ENCODER_TERMS = 500_000
+
+
 def embedding_docs(movies: DataFrame, missing: str = "omit") -> DataFrame:
     """(movie_id, doc) for every movie with an overview."""
     return movies.where(F.col("overview").isNotNull()).select(
@@ -23,13 +29,42 @@ def embedding_docs(movies: DataFrame, missing: str = "omit") -> DataFrame:
     )
 
 
+def term_slot(term: str, dim: int) -> int:
+    """The entry of a term: the first 32 bits of its MD5, modulo ``dim``."""
+    return int.from_bytes(hashlib.md5(term.encode("utf-8")).digest()[:4], "big") % dim
+
+
 def hashing_encoder(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 768) -> DataFrame:
-    """Default encoder, fully JVM-side: word tokens (letters of any script) -> hashed term counts -> unit L2 vector."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"(?U)\W+", toLowercase=True)
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim)
-    norm = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0)
-    out = norm.transform(tf.transform(tok.transform(df)))
-    return out.withColumn(out_col, vector_to_array(F.col("_unit"), "float32")).drop("_tokens", "_tf", "_unit")
+    """Default encoder: terms (runs of letters and digits of any script, lower-cased) counted in
+    entries by hash, as a unit L2 vector; a text without terms is the zero vector.
+
+    Arrow batches; the hash is MD5, so that any SQL engine can repeat it.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out_col}` array<float>"
+    at = df.columns.index(text_col)
+    term = re.compile(r"[^\W_]+")
+
+    def run(batches):
+        slots: dict[str, int] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ENCODER_ROWS):
+                part = batch.slice(lo, ENCODER_ROWS)
+                flat = np.zeros((part.num_rows, dim), np.float64)
+                for i, text in enumerate(part.column(at).to_pylist()):
+                    terms = term.findall((text or "").lower())
+                    if len(slots) > ENCODER_TERMS:
+                        slots.clear()
+                    for t in terms:
+                        if t not in slots:
+                            slots[t] = term_slot(t, dim)
+                    if terms:
+                        flat[i] = np.bincount([slots[t] for t in terms], minlength=dim)
+                        flat[i] /= np.sqrt(flat[i] @ flat[i])
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim)
+                vectors = pa.ListArray.from_arrays(ends, pa.array(flat.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, out_col])
+
+    return df.mapInArrow(run, schema)
 
 
 def python_encoder(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]],

@@ -220,11 +220,3 @@ def catalog_from_files(spark: SparkSession, ml_dir: str, ext_meta_path: str, ava
     """A catalog over the application's own input files (not memoised)."""
     return Catalog(spark, inputs=FileInputs(spark, ml_dir, ext_meta_path, availability_csv, embeddings_path),
                    text_dim=text_dim)
-
-
-def seeds_frame(spark: SparkSession, sf_dir: str, ids=None) -> DataFrame:
-    return adapters.seeds(spark, sf_dir, ids)
-
-
-def as_seeds(df: DataFrame, col: str = "movie_id") -> DataFrame:
-    return df.select(F.col(col).alias("seed_id"))

@@ -7,6 +7,7 @@ orders); every ranking ends on a unique key; integer columns are BIGINT on both
 from __future__ import annotations
 
 import math
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,9 @@ from cinegraph.plans.oracle import assemble
 from cinegraph.plans.oracle import strip as sql_strip
 from cinegraph.functions.text import PROVIDER_LINKS
 from cinegraph.functions.vector import l2_norm
-from cinegraph.sources import adapters
+from cinegraph.session import ensure_checkpoint_dir
+from cinegraph.sources import adapters, sinks
+from cinegraph.sources.merge import KeyedTable
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Builder] = {}
@@ -520,12 +523,84 @@ def q_dq_report(spark, sf_dir):
                      c.has_tag(), c.rated(), c.vectors(), dim=VECTOR_DIM)
 
 
-# ---------------------------------------------------------------- text embedding and ANN (rows-only checks)
+# ---------------------------------------------------------------- loads and merges
+# Ratings of the last years come as deltas, one a year, onto a table of those before.
+FIRST_DELTA_YEAR = 1997
+
+
+@register("merge_rated", """
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(movie_id AS BIGINT) AS movie_id, rating, CAST(seq AS BIGINT) AS seq
+FROM (SELECT o_custkey AS user_id, l_partkey AS movie_id,
+             CAST(least(10, 1 + ((CAST(l_quantity AS INTEGER) - 1) % 5) + 2 * (l_partkey % 6)) AS DOUBLE) / 2.0 AS rating,
+             CAST(o_orderdate AS DATE) AS day, l_orderkey * 8 + l_linenumber AS seq
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+QUALIFY row_number() OVER (PARTITION BY user_id, movie_id ORDER BY day DESC, seq DESC, rating DESC) = 1""")
+def q_merge_rated(spark, sf_dir):
+    """RATED edges kept up to date: a first load, then each year's ratings merged by (user, movie);
+    a later rating replaces an earlier one, and only touched buckets are rewritten."""
+    events = adapters.rating_events(spark, sf_dir).withColumn("year", F.year("day"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cinegraph-tables/{uuid.uuid4().hex}/rated_keyed"
+    rated = KeyedTable(spark, path, ["user_id", "movie_id"])
+    rated.create(events.where(F.col("year") < FIRST_DELTA_YEAR), ["day", "seq", "rating"])
+    later = events.where(F.col("year") >= FIRST_DELTA_YEAR)
+    for (year,) in sorted(later.select("year").distinct().collect()):
+        rated.merge(later.where(F.col("year") == year), ["day", "seq", "rating"])
+    return rated.read().select(big("user_id"), big("movie_id"), "rating", big("seq"))
+
+
+@register("load_movies", assemble(_MOVIE_SQL + " WHERE movie_id IN (SELECT DISTINCT movie_id FROM has_tag)"))
+def q_load_movies(spark, sf_dir):
+    """The typed movie load: first row per key wins over rows sent again, restricted to tagged movies."""
+    c = catalog(spark, sf_dir)
+    m = c.movies()
+    sent = m.withColumn("_sent", F.lit(1)).unionByName(m.withColumns({"title": F.lit("sent again"), "_sent": F.lit(2)}))
+    loaded = sinks.restrict_to(sinks.load_movies(sent, [F.asc("_sent")]), c.has_tag())
+    return loaded.select(big("movie_id"), big("tmdb_id"), "title", big("year"), "genres", "overview", "tagline", "director",
+                         "top_cast", "poster_path", r6("vote_average"), big("vote_count"),
+                         r6("rating_mean"), big("rating_count"), r6("bayesian_avg"))
+
+
+# ---------------------------------------------------------------- text embedding and ANN
 TEXT_DIM = 768     # embedding width of the source application's model
 ANN_K = 10
 
 
-@register("movie_text_vectors")
+# The hashing encoder in SQL: terms, their entries by MD5, unit vectors rounded to single precision.
+def _terms_sql(src: str, key: str, text: str) -> str:
+    return f"""
+SELECT {key}, slot, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS w FROM (
+  SELECT {key}, slot, CAST(count(*) AS DOUBLE) AS n FROM (
+    SELECT {key}, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {TEXT_DIM} AS slot
+    FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {src}))
+  GROUP BY {key}, slot)"""
+
+
+_TEXT_EXTRA = {
+    "text_docs": _DOC_SQL_PART,
+    "doc_terms": _terms_sql("text_docs", "movie_id", "doc"),
+    "query_terms": _terms_sql("benchmark", "item_id", "text"),
+    "text_points": """
+SELECT m.movie_id, coalesce(m.title, 'nan') AS title, m.year, coalesce(m.genres, '') AS genres,
+       coalesce(m.poster_path, '') AS poster_path, coalesce(m.bayesian_avg, 0.0) AS bayesian_avg
+FROM movies m WHERE m.overview IS NOT NULL""",
+    "text_hits": f"""
+SELECT * FROM (
+  SELECT query_id, movie_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, movie_id) AS vec_rank
+  FROM (SELECT q.item_id AS query_id, p.movie_id, coalesce(s.score, 0.0) AS score
+        FROM benchmark q CROSS JOIN text_points p
+        LEFT JOIN (SELECT q.item_id, d.movie_id, sum(CAST(q.w AS DOUBLE) * CAST(d.w AS DOUBLE)) AS score
+                   FROM query_terms q JOIN doc_terms d ON d.slot = q.slot GROUP BY q.item_id, d.movie_id) s
+          ON s.item_id = q.item_id AND s.movie_id = p.movie_id))
+WHERE vec_rank <= {LIMIT * 5}""",
+}
+
+
+@register("movie_text_vectors", assemble(f"""
+SELECT CAST(p.movie_id AS BIGINT) AS movie_id, CAST({TEXT_DIM} AS BIGINT) AS dim, round(coalesce(t.norm, 0.0), 6) AS norm,
+       CAST(coalesce(t.nonzero, 0) AS BIGINT) AS nonzero, p.title
+FROM text_points p LEFT JOIN (
+  SELECT movie_id, sqrt(sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE))) AS norm, count(*) AS nonzero FROM doc_terms GROUP BY movie_id) t
+  ON t.movie_id = p.movie_id""", _TEXT_EXTRA))
 def q_movie_text_vectors(spark, sf_dir):
     """Movie documents embedded by the default (hashing) encoder: contract columns."""
     v = catalog(spark, sf_dir).text_vectors(TEXT_DIM)
@@ -534,7 +609,16 @@ def q_movie_text_vectors(spark, sf_dir):
                     F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nonzero"), "title")
 
 
-@register("search_by_text")
+@register("search_by_text", assemble(f"""
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, CAST(movie_id AS BIGINT) AS movie_id,
+       title, CAST(year AS BIGINT) AS year, genres, poster_path, round(bayesian_avg, 6) AS bayesian_avg,
+       blend AS score, round(score, 6) AS cosine
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, vec_rank) AS rank
+      FROM (SELECT h.query_id, h.movie_id, h.score, h.vec_rank, p.title, p.year, p.genres, p.poster_path, p.bayesian_avg,
+                   round(0.6 * h.score + 0.4 * CASE WHEN p.bayesian_avg > 0 THEN least(p.bayesian_avg / 5.0, 1.0)
+                                                    ELSE 0.0 END, 3) AS blend
+            FROM text_hits h JOIN text_points p ON p.movie_id = h.movie_id))
+WHERE rank <= {LIMIT}""", _TEXT_EXTRA))
 def q_search_by_text(spark, sf_dir):
     """Every benchmark passage used as a natural-language query against the movies."""
     c = catalog(spark, sf_dir)

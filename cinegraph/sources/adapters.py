@@ -63,6 +63,18 @@ def ml_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings as they come in over time: (user_id, movie_id, rating, day, seq); several lines may share a ``seq``."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    mid = F.col("l_partkey")
+    r = F.least(F.lit(10), F.lit(1) + ((F.col("l_quantity").cast("int") - 1) % 5) + F.lit(2) * (mid % 6))
+    return li.join(orders, li.l_orderkey == orders.o_orderkey).select(
+        F.col("o_custkey").alias("user_id"), mid.alias("movie_id"), (r.cast("double") / F.lit(2.0)).alias("rating"),
+        F.col("o_orderdate").cast("date").alias("day"),
+        (F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")).alias("seq"))
+
+
 def ml_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     mid = F.col("movie_id")
     t = F.concat(

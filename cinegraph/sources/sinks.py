@@ -31,7 +31,7 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row per key: the last by ``order`` (MERGE ... SET overwrites)."""
+    """One row per key: the last by ``order``, nulls first (MERGE ... SET overwrites)."""
     w = Window.partitionBy(*keys).orderBy(*[o.desc() if hasattr(o, "desc") else F.desc(o) for o in order])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
@@ -48,21 +48,35 @@ def restrict_to(child: DataFrame, parent: DataFrame, key: str = "movie_id") -> D
     return child.join(parent.select(key), key, "left_semi")
 
 
-def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """SNK8 incremental path: keyed merge where the update wins (last write wins).
+def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """SNK8: keyed merge where the update wins, and of several updates the last by ``order``.
 
     existing rows whose key is updated are removed by an anti-join; the updates (one per
-    key, the last by ``order``) are appended. Both sides shuffle on the key only.
+    key) are appended. Both sides shuffle on the key only. ``merge.KeyedTable`` keeps such a
+    table on disk and rewrites the touched buckets only.
     """
-    upd = last_per_key(updates, keys, order or [F.lit(0)]) if order else updates.dropDuplicates(keys)
+    if not order:
+        raise ValueError("upsert needs an order: without one the winner among updates of a key is arbitrary")
+    upd = last_per_key(updates, keys, order)
     kept = existing.join(upd.select(*keys), keys, "left_anti")
     return kept.unionByName(upd.select(*existing.columns))
 
 
-def upsert_vectors(existing: DataFrame | None, points: DataFrame, dim: int) -> DataFrame:
-    """SNK13: vector points keyed by movie_id with a fixed dimension; a recreated
-    collection is ``existing=None``."""
-    checked = points.where(F.size("embedding") == dim)
+def split_by_dimension(points: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(points with a vector of ``dim`` entries, all others with a ``reason``); no point is in neither."""
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    reason = F.when(size < 0, F.lit("no vector")).when(size != dim, F.concat(
+        F.lit("dimension "), size.cast("string"), F.lit(f" instead of {dim}")))
+    judged = points.withColumn("reason", reason)
+    return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
+
+
+def upsert_vectors(existing: DataFrame | None, points: DataFrame, dim: int, order: list) -> tuple[DataFrame, DataFrame]:
+    """SNK13: (vector points keyed by movie_id, points rejected with their reason). A recreated
+    collection is ``existing=None``; of several points of a movie the last by ``order`` stays."""
+    good, rejected = split_by_dimension(points, dim)
     if existing is None:
-        return checked.dropDuplicates(["movie_id"])
-    return upsert(existing, checked, ["movie_id"])
+        if not order:
+            raise ValueError("upsert_vectors needs an order")
+        return last_per_key(good, ["movie_id"], order), rejected
+    return upsert(existing, good, ["movie_id"], order), rejected

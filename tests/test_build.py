@@ -148,14 +148,50 @@ def test_sinks_first_and_last_wins(spark, tmp_path):
     assert rows(first, "movie_id", "title") == [(1, "a"), (2, "c")]
     old = spark.createDataFrame([(1, "old"), (3, "keep")], "movie_id long, title string")
     new = df.select("movie_id", "title", "seq")
-    up = sinks.upsert(old, new.drop("seq"), ["movie_id"], order=None)
-    assert sorted(r.movie_id for r in up.collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        sinks.upsert(old, new.drop("seq"), ["movie_id"], order=[])
     last = sinks.upsert(old, new, ["movie_id"], order=["seq"])
     assert rows(last, "movie_id", "title") == [(1, "b"), (2, "c"), (3, "keep")]
     sinks.write_table(first, str(tmp_path / "movies"), sort_cols=["movie_id"])
     assert spark.read.parquet(str(tmp_path / "movies")).count() == 2
 
 
+def test_vector_points_of_another_dimension_are_reported(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 2), (2, [1.0], 1), (3, None, 1), (4, [], 1)],
+                                   "movie_id long, embedding array<double>, seq int")
+    good, rejected = sinks.upsert_vectors(None, points, 2, ["seq"])
+    assert [(r.movie_id, r.embedding) for r in good.collect()] == [(1, [0.0, 1.0])]
+    assert rows(rejected, "movie_id", "reason") == [
+        (2, "dimension 1 instead of 2"), (3, "no vector"), (4, "dimension 0 instead of 2")]
+    old = spark.createDataFrame([(1, [0.6, 0.8], 0), (9, [1.0, 0.0], 0)], points.schema)
+    merged, _ = sinks.upsert_vectors(old, points, 2, ["seq"])
+    assert sorted((r.movie_id, r.embedding) for r in merged.collect()) == [(1, [0.0, 1.0]), (9, [1.0, 0.0])]
+
+
+def test_keyed_table_merges_touched_buckets_only(spark, tmp_path):
+    from pathlib import Path
+
+    from cinegraph.sources.merge import KeyedTable
+    kind = "a long, b string, v long, seq long"
+    table = KeyedTable(spark, str(tmp_path / "t"), ["a", "b"], buckets=8)
+    first = [(i, "x" if i % 2 else None, i, 0) for i in range(100)] + [(5, "x", -1, -1), (None, None, 7, 0)]
+    table.create(spark.createDataFrame(first, kind), ["seq"])
+    want = {(a, b): (v, seq) for a, b, v, seq in sorted(first, key=lambda r: r[3])}
+
+    def files():
+        return {f.name: f.parent.name for f in Path(tmp_path / "t").rglob("*.parquet")}
+
+    for delta in ([(5, "x", 50, 2), (5, "x", 49, 1), (200, "new", 1, 0)], [(None, None, 8, 0)], []):
+        before = files()
+        touched = table.merge(spark.createDataFrame(delta, kind), ["seq"])
+        want.update({(a, b): (v, seq) for a, b, v, seq in sorted(delta, key=lambda r: r[3])})
+        got = {(r.a, r.b): (r.v, r.seq) for r in table.read().collect()}
+        assert got == want and table.read().count() == len(want)
+        # files of other buckets are the same files as before
+        assert {f for f, d in before.items() if d.split("=")[1] not in map(str, touched)} <= set(files())
+        assert len(touched) <= len(delta)
+
+
 def test_t6_year_comes_from_metadata_and_keys_availability(spark):
     ml = spark.createDataFrame([(1, "Heat (1995)", "Action")], "movieId long, title string, genres string")
     links = spark.createDataFrame([(1, "tt1", 862.0)], "movieId long, imdbId string, tmdbId double")

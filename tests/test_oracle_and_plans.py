@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import check_oracle  # noqa: E402
-from cinegraph.operators.signals import signal_collab, signal_tags  # noqa: E402
+from cinegraph.operators.signals import SignalParams, signal_collab, signal_tags  # noqa: E402
 from cinegraph.operators.tags import build_tags  # noqa: E402
 from cinegraph.plans.catalog import catalog  # noqa: E402
 from cinegraph.plans.queries import ORACLE, REGISTRY  # noqa: E402
@@ -65,16 +65,18 @@ def test_recommend_plan_python_only_in_knn(spark, sf_small):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_many_seed_overlap_signals_never_join_on_the_shared_key(spark, sf_small):
-    """All-seed tag and co-fan plans run on the cogroup grid: no equi-join on tag or user
-    (which would emit every pair of a popular tag / heavy user), no cross join."""
+def test_many_seed_overlap_signals_plans(spark, sf_small):
+    """The tag signal runs on the cogroup grid: no equi-join on the tag (which would emit every
+    pair of a popular tag). The co-fan signal joins light users only and has no grid without
+    heavy ones. Neither has a cross join."""
     c = catalog(spark, sf_small)
     seeds = c.movies().selectExpr("movie_id AS seed_id")
-    for df in (signal_tags(seeds, c.has_tag(), c.nodes(), seed_ids=None),
-               signal_collab(seeds, c.rated(), c.fan_edges(), c.nodes(), seed_ids=None)):
-        p = plan(df)
-        assert "FlatMapCoGroupsInPandas" in p
+    tags = plan(signal_tags(seeds, c.has_tag(), c.nodes(), seed_ids=None))
+    collab = plan(signal_collab(seeds, c.rated(), c.fan_edges(), c.nodes(), seed_ids=None))
+    heavy = plan(signal_collab(seeds, c.rated(), c.fan_edges(), c.nodes(), SignalParams(heavy_fan=25), seed_ids=None))
+    for p in (tags, collab, heavy):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-        join_keys = [ln for ln in p.split("\n") if ln.startswith(("Left keys", "Right keys"))]
-        assert not any("tag#" in ln and "movie_id" not in ln for ln in join_keys), join_keys
-        assert not any("user_id#" in ln for ln in join_keys), join_keys
+    join_keys = [ln for ln in tags.split("\n") if ln.startswith(("Left keys", "Right keys"))]
+    assert "FlatMapCoGroupsInPandas" in tags and not any("tag#" in ln and "movie_id" not in ln for ln in join_keys)
+    assert "FlatMapCoGroupsInPandas" not in collab and "InPandas" not in collab
+    assert "FlatMapCoGroupsInPandas" in heavy
