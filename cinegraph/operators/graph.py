@@ -69,19 +69,16 @@ def user_nodes(rated: DataFrame) -> DataFrame:
 
 def graph_counts(nodes_movie: DataFrame, has_genre: DataFrame, has_tag: DataFrame,
                  rated: DataFrame) -> DataFrame:
-    """Audit: node counts per label and edge counts per type, one row each."""
-    parts = [
-        ("node", "Movie", nodes_movie.select("movie_id")),
-        ("node", "Genre", genre_nodes(has_genre)),
-        ("node", "Tag", tag_nodes(has_tag)),
-        ("node", "User", user_nodes(rated)),
-        ("edge", "HAS_GENRE", has_genre),
-        ("edge", "HAS_TAG", has_tag),
-        ("edge", "RATED", rated),
-    ]
-    out = None
-    for kind, label, df in parts:
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.col("n").cast("bigint").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Audit: node counts per label and edge counts per type, one row each. Each table is read
+    once: its nodes are the groups of its edges, and its edges the sum of their sizes."""
+    def count(df: DataFrame, node: str, label: str, edge: str) -> DataFrame:
+        groups = df.groupBy(node).agg(F.count(F.lit(1)).alias("c"))
+        # a count of distinct values leaves nulls out
+        both = groups.agg(F.count(node).alias("nodes"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows"))
+        return both.select(F.inline(F.array(
+            F.struct(F.lit("node").alias("kind"), F.lit(label).alias("label"), F.col("nodes").alias("n")),
+            F.struct(F.lit("edge").alias("kind"), F.lit(edge).alias("label"), F.col("rows").alias("n")))))
+
+    movies = nodes_movie.agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("kind"), F.lit("Movie").alias("label"), "n")
+    return movies.unionByName(count(has_genre, "genre", "Genre", "HAS_GENRE")).unionByName(
+        count(has_tag, "tag", "Tag", "HAS_TAG")).unionByName(count(rated, "user_id", "User", "RATED"))

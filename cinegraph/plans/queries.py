@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,10 @@ from cinegraph.operators import ann as ann_ops
 from cinegraph.plans.catalog import catalog
 from cinegraph.plans.oracle import assemble
 from cinegraph.plans.oracle import strip as sql_strip
-from cinegraph.functions.text import PROVIDER_LINKS
+from cinegraph.functions.text import NA_TOKENS, PROVIDER_LINKS
 from cinegraph.functions.vector import l2_norm
 from cinegraph.session import ensure_checkpoint_dir
-from cinegraph.sources import adapters, sinks
+from cinegraph.sources import adapters, readers, sinks
 from cinegraph.sources.merge import KeyedTable
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -560,6 +561,60 @@ def q_load_movies(spark, sf_dir):
                          r6("rating_mean"), big("rating_count"), r6("bayesian_avg"))
 
 
+# ---------------------------------------------------------------- CSV inputs
+_NA_SQL = ", ".join("'" + t + "'" for t in NA_TOKENS)
+
+
+def _na_sql(x: str) -> str:
+    return f"CASE WHEN {x} NOT IN ({_NA_SQL}) THEN {x} END"
+
+
+@register("csv_inputs", assemble(f"""
+SELECT 'movies' AS source, CAST(doc_id AS VARCHAR) AS key, md5({_na_sql('text')}) AS value,
+       CAST(length({_na_sql('text')}) AS DOUBLE) AS num FROM documents
+UNION ALL SELECT 'rejected', NULL, NULL, CAST(count(*) AS DOUBLE) FROM pages
+UNION ALL SELECT 'links', CAST(movieId AS VARCHAR), imdbId, tmdbId FROM ml_links
+UNION ALL SELECT 'ratings', CAST(movieId AS VARCHAR), CAST(count(*) AS VARCHAR), round(sum(rating), 6) FROM ml_ratings GROUP BY movieId
+UNION ALL SELECT 'tags', CAST(movieId AS VARCHAR), {_na_sql('tag')}, CAST(count(*) AS DOUBLE) FROM ml_tags GROUP BY movieId, tag
+UNION ALL SELECT 'availability', Title, {_na_sql('"Year"')}, CAST("Netflix" + 10 * "Hulu" + 100 * "Prime Video" AS DOUBLE)
+FROM availability_raw"""))
+def q_csv_inputs(spark, sf_dir):
+    """The CSV readers over files written from the tables: texts of many lines with quotes and commas
+    for titles, padded tags, flags as ``1.0``; records that don't fit the schema are counted apart."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cinegraph-csv/{uuid.uuid4().hex}"
+    docs, pages = adapters.table(spark, sf_dir, "documents"), adapters.table(spark, sf_dir, "pages")
+    # url and page as if they were movies: no number stands where the id should
+    titles = docs.select(F.col("doc_id").cast("string").alias("movieId"), F.col("text").alias("title"), F.col("lang").alias("genres"))
+    sinks.write_csv(titles.unionByName(pages.select(F.col("url").alias("movieId"), F.col("html").alias("title"),
+                                                    F.lit("page").alias("genres"))), f"{root}/movies")
+    sinks.write_csv(adapters.ml_links(spark, sf_dir), f"{root}/links")
+    sinks.write_csv(adapters.ml_ratings(spark, sf_dir).withColumn("timestamp", F.lit(0)), f"{root}/ratings")
+    tags = adapters.ml_tags(spark, sf_dir).select(F.lit(1).alias("userId"), "movieId", "tag", F.lit(0).alias("timestamp"))
+    sinks.write_csv(tags, f"{root}/tags")
+    flags = adapters.availability_raw(spark, sf_dir)
+    sinks.write_csv(flags.select("Title", "Year", *[F.col(f"`{c}`").cast("double").alias(c) for c in flags.columns[2:]]), f"{root}/availability")
+
+    def out(df, source, key, value, num):
+        return df.select(F.lit(source).alias("source"), key.cast("string").alias("key"), value.cast("string").alias("value"),
+                         num.cast("double").alias("num"))
+
+    c = F.col
+    rejected = readers.rejected_csv(spark, f"{root}/movies", readers.ML_MOVIES_SCHEMA, free_text=True)
+    ratings = readers.read_ml_ratings(spark, f"{root}/ratings").groupBy("movieId").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("rating"), 6).alias("s"))
+    found = readers.read_ml_tags(spark, f"{root}/tags").groupBy("movieId", "tag").agg(F.count(F.lit(1)).alias("n"))
+    flagged = readers.read_availability_raw(spark, f"{root}/availability")
+    parts = [
+        out(readers.read_ml_movies(spark, f"{root}/movies"), "movies", c("movieId"), F.md5(c("title")), F.length("title")),
+        out(rejected.agg(F.count(F.lit(1)).alias("n")), "rejected", F.lit(None), F.lit(None), c("n")),
+        out(readers.read_ml_links(spark, f"{root}/links"), "links", c("movieId"), c("imdbId"), c("tmdbId")),
+        out(ratings, "ratings", c("movieId"), c("n"), c("s")),
+        out(found, "tags", c("movieId"), c("tag"), c("n")),
+        out(flagged, "availability", c("Title"), c("Year"), c("Netflix") + 10 * c("Hulu") + 100 * c("Prime Video")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- text embedding and ANN
 TEXT_DIM = 768     # embedding width of the source application's model
 ANN_K = 10

@@ -7,12 +7,14 @@ pass over the data, types fixed up front).
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinegraph.functions.text import PROVIDER_COLUMNS, na_decode, to_number
+from cinegraph.session import ensure_checkpoint_dir
 
 # --- fixed values: input schemas of the source data sets (FIXTURES.md section 1) --------
 ML_MOVIES_SCHEMA = "movieId BIGINT, title STRING, genres STRING"
@@ -46,19 +48,46 @@ def decode_na(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: list[str] | None = None) -> DataFrame:
-    """Header CSV with a fixed schema; quoted free text; NA tokens decoded to null."""
-    df = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
-    if columns:
-        df = df.select(*columns)
-    return decode_na(df)
+CORRUPT = "_corrupt_record"
 
 
-def read_ml_movies(spark, path): return read_csv(spark, path, ML_MOVIES_SCHEMA)                     # SRC1
+def _schema(schema: str | T.StructType) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _reader(spark: SparkSession, free_text: bool):
+    # every column is parsed, whatever a query selects: which records fit must not depend on it
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", free_text).option("columnPruning", False))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: list[str] | None = None,
+             free_text: bool = False) -> DataFrame:
+    """Header CSV with a fixed schema; NA tokens decoded to null. Records that don't fit the schema
+    are left out; ``rejected_csv`` has them.
+
+    ``free_text``: quoted fields may hold line breaks. Such a file is read by one task, so large
+    inputs come as many files; without it, files are split.
+    """
+    df = _reader(spark, free_text).schema(_schema(schema)).option("mode", "DROPMALFORMED").csv(path)
+    return decode_na(df.select(*columns) if columns else df)
+
+
+def rejected_csv(spark: SparkSession, path: str, schema: str | T.StructType, free_text: bool = False) -> DataFrame:
+    """(file, record): the reject table, with the raw records that don't fit the schema; written to
+    the shared folder, as Spark doesn't answer queries on the corrupt records of a scan alone."""
+    kind = T.StructType([*_schema(schema).fields, T.StructField(CORRUPT, T.StringType())])
+    rows = (_reader(spark, free_text).schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            .csv(path).withColumn("file", F.input_file_name()).where(F.col(CORRUPT).isNotNull()))
+    to = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cinegraph-rejects/{uuid.uuid4().hex}"
+    rows.withColumnRenamed(CORRUPT, "record").write.parquet(to)  # with what could be parsed of them
+    return spark.read.parquet(to).select("file", "record")
+
+
+def read_ml_movies(spark, path): return read_csv(spark, path, ML_MOVIES_SCHEMA, free_text=True)     # SRC1
 def read_ml_links(spark, path): return read_csv(spark, path, ML_LINKS_SCHEMA)                       # SRC2
 def read_ml_ratings(spark, path): return read_csv(spark, path, ML_RATINGS_SCHEMA, ["userId", "movieId", "rating"])  # SRC3
-def read_ml_tags(spark, path): return read_csv(spark, path, ML_TAGS_SCHEMA, ["movieId", "tag"])     # SRC4
+def read_ml_tags(spark, path): return read_csv(spark, path, ML_TAGS_SCHEMA, ["movieId", "tag"], free_text=True)     # SRC4
 
 
 def read_ext_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +102,7 @@ def read_availability_raw(spark: SparkSession, path: str) -> DataFrame:
     columns parsed as numbers (``1`` and ``1.0`` alike); an absent file gives an empty table with the full schema."""
     if not _exists(spark, path):
         return spark.createDataFrame([], availability_raw_schema())
-    df = decode_na(spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path))
+    df = decode_na(spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path))
     out = [F.col("Title").cast("string").alias("Title") if "Title" in df.columns else F.lit(None).cast("string").alias("Title"),
            F.col("Year").cast("string").alias("Year") if "Year" in df.columns else F.lit(None).cast("string").alias("Year")]
     for p in PROVIDER_COLUMNS:

@@ -24,6 +24,12 @@ def write_table(df: DataFrame, path: str, sort_cols: list[str] | None = None,
     w.parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Header CSV as ``readers.read_csv`` reads it back: blanks kept, quotes doubled, nulls empty."""
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key: the first by ``order`` (insert with ON CONFLICT DO NOTHING)."""
     w = Window.partitionBy(*keys).orderBy(*order)
