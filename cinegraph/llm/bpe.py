@@ -8,7 +8,7 @@ before it. The transducer compiles this from the merge ranks, when a text first
 * A hypothesis is a place where a token may start: the tokens since the last one emitted, and
   the bytes read since that place, a node of the trie of tokens.
 * A state is the set of hypotheses alive. A byte extends each, ends a token where the merges
-  agree, and drops those whose bytes begin no token.
+  agree, and drops those whose bytes begin no token that could stand there.
 * Tokens that all hypotheses share are emitted. No hypothesis is older than the longest token,
   so what a state holds back, the lookahead, is bounded by the vocabulary and not by the piece.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -41,8 +42,8 @@ from cinegraph.llm.pieces import tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Transitions and whole pieces that a worker remembers.
-MAX_TRANSITIONS = 600_000
-MAX_PIECES = 300_000
+MAX_TRANSITIONS = 400_000
+MAX_PIECES = 250_000
 # A rank past all ranks.
 NEVER = 1 << 62
 
@@ -62,20 +63,25 @@ class Transducer:
             raise ValueError(f"the vocabulary lacks single bytes: {missing}")
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        # the tokens' trie: child of node << 8 | byte, the token that ends at a node (-1: none), whether any goes on
+        # the tokens' trie: child of node << 8 | byte, the token that ends at a node (-1: none), and
+        # where the tokens that go on from it lie in the order of their bytes
         self._child: dict[int, int] = {}
-        self._token, self._more = [-1], [False]
-        for token, rank in ranks.items():
+        self._token, self._low, self._high = [-1], [0], [0]
+        self._sorted = [ranks[t] for t in sorted(ranks)]
+        for place, token in enumerate(sorted(ranks)):
             node = 0
             for byte in token:
-                self._more[node] = True
+                self._high[node] = place + 1
                 at = self._child.get(node << 8 | byte)
                 if at is None:
                     at = self._child[node << 8 | byte] = len(self._token)
                     self._token.append(-1)
-                    self._more.append(False)
+                    self._low.append(place)
+                    self._high.append(place)
                 node = at
-            self._token[node] = rank
+            self._token[node] = ranks[token]
+            self._low[node] = self._high[node] = place + 1
+        self._alive: dict[int, bool] = {}
         self.max_transitions = max_transitions
         self._fits: dict[int, bool] = {}
         self._spines: dict[int, tuple | None] = {}
@@ -140,20 +146,36 @@ class Transducer:
             else:
                 j += 1
 
+    def may_go_on(self, before: int, node: int) -> bool:
+        """Whether any token that goes on from this node fits after ``before``."""
+        low, high = self._low[node], self._high[node]
+        if low >= high:
+            return False
+        if before < 0:
+            return True  # the piece's start
+        key = before << 32 | node
+        found = self._alive.get(key)
+        if found is None:
+            if len(self._alive) >= self.max_transitions:
+                self._alive.clear()
+            found = self._alive[key] = any(self._apart(before, t) for t in self._sorted[low:high])
+        return found
+
     def _compile(self, state: int, byte: int) -> tuple[int, tuple]:
         """The transition (next state, tokens emitted) of a state under a byte."""
         last, hypotheses = self._states[state]
-        child, token_at, more = self._child, self._token, self._more
+        child, token_at = self._child, self._token
         alive, ended = [], None
         for tokens, node in hypotheses:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
+            before = tokens[-1] if tokens else last
             if ended is None:
                 token = token_at[node]
-                if token >= 0 and self.fits(tokens[-1] if tokens else last, token):
+                if token >= 0 and self.fits(before, token):
                     ended = (*tokens, token)
-            if more[node]:
+            if self.may_go_on(before, node):
                 alive.append((tokens, node))
         if ended is None:
             raise ValueError("a prefix without an encoding: the ranks are not those of merges")
@@ -218,6 +240,9 @@ class StreamDecoder:
         cut = len(data) - kept
         return data[:cut].decode("utf-8", "replace"), self.state(data[cut:])
 
+    def tables(self) -> list[BoundedCache]:
+        return list(self._states.values())
+
     def decode(self, ids) -> str:
         out, state = [], self.state(b"")
         for token in ids:
@@ -248,15 +273,87 @@ def incomplete_tail(data: bytes) -> int:
 
 
 @lru_cache(maxsize=2)
-def _vocabulary(path: str) -> tuple[Transducer, StreamDecoder, BoundedCache]:
+def _encoder(path: str) -> BoundedCache:
+    # states are many small tuples without cycles: let the collector look at them less often
+    gc.set_threshold(100_000, 20, 100)
+    made = Transducer(read_ranks(path))
+    return BoundedCache(lambda piece: np.array(made.encode(piece.encode("utf-8")), "<i4").tobytes(), MAX_PIECES)
+
+
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> StreamDecoder:
+    return StreamDecoder({rank: token for token, rank in read_ranks(path).items()})
+
+
+def _path(ranks: str) -> str:
+    return ranks if "/" in ranks else tokenizer_path(ranks)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str | None = None) -> DataFrame:
+    """(id, ids array<int>) of every row. ``ranks``: a rank file's path, or its name among the
+    installed public tokenizers; ``pattern`` splits texts into pieces (the public one by default)."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = _packed(batch.column(1).to_pylist(), ranks, pattern)
+        ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        return pa.record_batch([batch.column(0), ids], names=["id", "ids"])
+
+    return map_slices(source, run, "id long, ids array<int>")
+
+
+def _packed(texts: list, ranks: str, pattern: str | None) -> list[bytes]:
+    """The ids of each text, four bytes each."""
+    import public_tokenizers
+    import regex
+
+    table = _encoder(_path(ranks))
+    keep_only(table, *_decoder(_path(ranks)).tables())
+    split = regex.compile(pattern or public_tokenizers.PATTERN).findall
+    return [b"".join(map(table.__getitem__, split(text or ""))) for text in texts]
+
+
+def decode(self, ids) -> str:
+        out, state = [], self.state(b"")
+        for token in ids:
+            chars, state = state[token]
+            out.append(chars)
+        if state.held:
+            out.append("�")
+        return "".join(out)
+
+
+def incomplete_tail(data: bytes) -> int:
+    """How many last bytes (0 to 3) begin a character of UTF-8 that isn't complete."""
+    for back in range(1, min(3, len(data)) + 1):
+        lead = data[-back]
+        if lead & 0xC0 == 0x80:
+            continue
+        size = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 1
+        if size <= back:
+            return 0
+        if back > 1:
+            # the second byte's range shuts out overlong forms, surrogates and what is past U+10FFFF
+            low = {0xE0: 0xA0, 0xF0: 0x90}.get(lead, 0x80)
+            high = {0xED: 0x9F, 0xF4: 0x8F}.get(lead, 0xBF)
+            if not low <= data[1 - back] <= high:
+                return 0
+        return back
+    return 0
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> BoundedCache:
     # states are many small tuples without cycles: let the collector look at them less often
     gc.set_threshold(100_000, 20, 100)
     made = Transducer(read_ranks(path))
+    return BoundedCache(lambda piece: np.array(made.encode(piece.encode("utf-8")), "<i4").tobytes(), MAX_PIECES)
 
-    def packed(piece: str) -> bytes:
-        return np.array(made.encode(piece.encode("utf-8")), "<i4").tobytes()
 
-    return made, StreamDecoder(made.bytes_of), BoundedCache(packed, MAX_PIECES)
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> StreamDecoder:
+    return StreamDecoder({rank: token for token, rank in read_ranks(path).items()})
 
 
 def _path(ranks: str) -> str:
@@ -286,16 +383,32 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``encoded`` (id, ids) with the decoded ``text``."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decoder = _vocabulary(_path(ranks))[1]
+        decoder = _decoder(_path(ranks))
         texts = [decoder.decode(ids or ()) for ids in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     return map_slices(encoded.select("id", "ids"), run, "id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS,
+               pattern: str | None = None) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row: what ``encode`` and then ``decode``
+    give, in one pass. Digests are of the decimal ids with commas, and of the decoded text."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, of_ids, of_text = [], [], []
+        decoder = _decoder(_path(ranks))
+        for packed in _packed(batch.column(1).to_pylist(), ranks, pattern):
+            ids = np.frombuffer(packed, "<i4").tolist()
+            counts.append(len(ids))
+            of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            of_text.append(hashlib.sha256(decoder.decode(ids).encode("utf-8")).hexdigest())
+        return pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()),
+                                pa.array(of_text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_slices(source, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op12_bpe(spark, sf_dir: str) -> DataFrame:
-    both = decode(encode(read_table(spark, sf_dir, "documents")))
-    return both.select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
