@@ -7,14 +7,12 @@ pass over the data, types fixed up front).
 from __future__ import annotations
 
 import os
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.functions.text import PROVIDER_COLUMNS, na_decode, to_number
-from cinegraph.session import ensure_checkpoint_dir
+from cinegraph.functions.text import PROVIDER_COLUMNS, na_decode, strip, to_number
 
 # --- fixed values: input schemas of the source data sets (FIXTURES.md section 1) --------
 ML_MOVIES_SCHEMA = "movieId BIGINT, title STRING, genres STRING"
@@ -48,40 +46,50 @@ def decode_na(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-CORRUPT = "_corrupt_record"
-
-
 def _schema(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def _reader(spark: SparkSession, free_text: bool):
-    # every column is parsed, whatever a query selects: which records fit must not depend on it
-    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", free_text).option("columnPruning", False))
+def _parsed(column: str, kind: T.DataType):
+    """A text column as its type: null where it doesn't parse. Whole numbers may be written ``1.0``."""
+    c = F.col(f"`{column}`")
+    if isinstance(kind, T.StringType):
+        return c
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.coalesce(strip(c).try_cast(kind), to_number(c).try_cast(kind))
+    return to_number(c).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else strip(c).try_cast(kind)
+
+
+def _scan(spark: SparkSession, path: str, schema: T.StructType, free_text: bool) -> tuple[DataFrame, Column]:
+    """Rows as text with NA tokens as nulls, and whether a row has a text where its column's type can't be read."""
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    rows = (spark.read.schema(texts).option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", free_text).option("mode", "PERMISSIVE").csv(path))
+    bad = F.lit(False)
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StringType):
+            bad = bad | (F.col(f"`{f.name}`").isNotNull() & _parsed(f.name, f.dataType).isNull())
+    return decode_na(rows), bad
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: list[str] | None = None,
              free_text: bool = False) -> DataFrame:
-    """Header CSV with a fixed schema; NA tokens decoded to null. Records that don't fit the schema
-    are left out; ``rejected_csv`` has them.
+    """Header CSV with a fixed schema; NA tokens decoded to null in every column, missing last
+    fields are null. Records that don't fit the schema are left out; ``rejected_csv`` has them.
 
     ``free_text``: quoted fields may hold line breaks. Such a file is read by one task, so large
     inputs come as many files; without it, files are split.
     """
-    df = _reader(spark, free_text).schema(_schema(schema)).option("mode", "DROPMALFORMED").csv(path)
-    return decode_na(df.select(*columns) if columns else df)
+    kind = _schema(schema)
+    rows, bad = _scan(spark, path, kind, free_text)
+    return rows.where(~bad).select(*[_parsed(f.name, f.dataType).alias(f.name) for f in kind.fields
+                                     if columns is None or f.name in columns])
 
 
 def rejected_csv(spark: SparkSession, path: str, schema: str | T.StructType, free_text: bool = False) -> DataFrame:
-    """(file, record): the reject table, with the raw records that don't fit the schema; written to
-    the shared folder, as Spark doesn't answer queries on the corrupt records of a scan alone."""
-    kind = T.StructType([*_schema(schema).fields, T.StructField(CORRUPT, T.StringType())])
-    rows = (_reader(spark, free_text).schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-            .csv(path).withColumn("file", F.input_file_name()).where(F.col(CORRUPT).isNotNull()))
-    to = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cinegraph-rejects/{uuid.uuid4().hex}"
-    rows.withColumnRenamed(CORRUPT, "record").write.parquet(to)  # with what could be parsed of them
-    return spark.read.parquet(to).select("file", "record")
+    """The reject table: (file, all columns as text) of the records that ``read_csv`` leaves out."""
+    rows, bad = _scan(spark, path, _schema(schema), free_text)
+    return rows.withColumn("file", F.input_file_name()).where(bad)
 
 
 def read_ml_movies(spark, path): return read_csv(spark, path, ML_MOVIES_SCHEMA, free_text=True)     # SRC1

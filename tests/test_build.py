@@ -126,6 +126,11 @@ def test_csv_readers_decode_na_and_optional(spark, tmp_path):
     t = readers.read_ml_tags(spark, str(p))
     assert t.columns == ["movieId", "tag"]
     assert sorted(t.collect(), key=str) == sorted([(10, "dark, moody"), (10, None), (None, "good")], key=str)
+    p.write_text('userId,movieId,tag,timestamp\n1,10.0,"two\nlines, ""quoted""",0\n2,ten,lost,0\n3, 11 ,short\n4,12,x,soon\n')
+    t = readers.read_ml_tags(spark, str(p))
+    assert rows(t) == [(10, 'two\nlines, "quoted"'), (11, "short")] and t.count() == 2
+    bad = readers.rejected_csv(spark, str(p), readers.ML_TAGS_SCHEMA, free_text=True)
+    assert rows(bad, "movieId", "tag", "timestamp") == [("12", "x", "soon"), ("ten", "lost", "0")] and bad.count() == 2
     missing = readers.read_availability_raw(spark, str(tmp_path / "absent.csv"))
     assert missing.count() == 0 and "Prime Video" in missing.columns
     a = tmp_path / "avail.csv"
