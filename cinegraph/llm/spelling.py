@@ -51,6 +51,7 @@ RATIO = 10
 HELD_WORDS = 300_000
 # Bits of a Bloom filter: 24 a key, at most 2**28 (32 MB).
 BITS_PER_KEY, MAX_BITS, PROBES = 24, 28, 6
+ALL_BITS = (1 << 64) - 1
 END = "."  # the end mark; it sorts before all letters
 # Frontier rows up to which they are broadcast to the edges.
 SMALL_FRONTIER = 100_000
@@ -170,11 +171,11 @@ def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _in_bloom(bloom: bytes, keys: list[int]) -> np.ndarray:
-    """Which keys may be in the set: all that are, and a few others."""
+    """Which (unsigned) keys may be in the set: all that are, and a few others."""
     table = np.frombuffer(bloom, np.uint64)
     if not keys:
         return np.zeros(0, bool)
-    at = _probes(np.array(keys, np.int64), (len(table) * 64).bit_length() - 1)
+    at = _probes(np.array(keys, np.uint64), (len(table) * 64).bit_length() - 1)
     return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
 
@@ -203,7 +204,7 @@ def edge_table(words: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         paths = list(_paths(batch.column(0).to_pylist()))
-        branches = _in_bloom(bloom.value, [x for p in paths for x in p[3]])
+        branches = _in_bloom(bloom.value, [x & ALL_BITS for p in paths for x in p[3]])
         nodes, labels, base = [], [], 0
         for letters, low, second, path in paths:
             # where words start, where the trie branches, and past the end mark
@@ -249,17 +250,20 @@ def advance(word: str, at: int, label: str) -> tuple[bool, list[str]]:
     The edit is made at the first difference only: one made earlier gives a string that the later
     one gives too. One made right after the label belongs to the next label.
     """
-    p, most = 0, min(len(label), len(word) - at)
-    while p < most and word[at + p] == label[p]:
-        p += 1
-    if p == len(label):
+    if word.startswith(label, at):
         return True, []
-    own, goals = word[at + p], []
+    p = 0
+    while word[at + p] == label[p]:
+        p += 1
+    here = at + p
+    own, rest, goals = word[here], label[p:], []
     if own != END:
-        if label[p] > own:
-            goals.append(word[:at + p] + label[p] + word[at + p + 1:])
-        goals.append(word[:at + p] + word[at + p + 1:])
-    return False, [g for g in goals if g.startswith(label, at)]
+        # a greater letter in place of its own, if the label goes on like the word after it
+        if rest[0] > own and word.startswith(rest[1:], here + 1):
+            goals.append(word[:here] + rest[0] + word[here + 1:])
+        if word.startswith(rest, here + 1):
+            goals.append(word[:here] + word[here + 1:])
+    return False, goals
 
 
 def _step(frontier: DataFrame, edges: DataFrame, bloom) -> DataFrame:
@@ -267,6 +271,7 @@ def _step(frontier: DataFrame, edges: DataFrame, bloom) -> DataFrame:
     ``goal`` are turned back, without end marks."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, tried, keys = [], [], []
+        key_of = xxhash.xxh64_intdigest
 
         def on(word: str, goal: str | None, at: int, backward: bool) -> None:
             if goal is not None and at == len(goal):
@@ -275,17 +280,22 @@ def _step(frontier: DataFrame, edges: DataFrame, bloom) -> DataFrame:
                 out.append((word, goal, at, backward, node_id((goal or word)[:at], backward)))
 
         for word, goal, at, backward, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, after = word[at], word[at + 1:at + 2]
             for label in labels.split(" "):
                 if goal is not None:
                     if goal.startswith(label, at):
                         on(word, goal, at + len(label), backward)
                     continue
+                # a lesser letter that isn't the word's next one leads nowhere
+                first = label[0]
+                if first < own and first != after:
+                    continue
                 reads, goals = advance(word, at, label)
                 if reads and at + len(label) < len(word):
                     on(word, None, at + len(label), backward)
                 for g in goals:
                     tried.append((word, g, at + len(label), backward))
-                    keys.append(word_key(turned(g[:-1], backward)))
+                    keys.append(key_of(g[-2::-1] if backward else g[:-1]))
         for i in np.flatnonzero(_in_bloom(bloom.value, keys)).tolist():
             on(*tried[i])
         return _states(out)
