@@ -21,7 +21,7 @@ QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_simhash, op3_exact_dedup, op4_quality, op5_toxicity, op6_packing, op7_token_counts,
     op8_line_dedup, op9_decontaminate, op10_license_scan, op11_spelling, op12_bpe, op13_collocations)}
 
-# The others can't be put into SQL; tests hold them against brute-force versions.
+# The others can't be put into SQL; the README says what each is tested against.
 ORACLE_SQL = {
     "op1_url_filter": url_filter.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
