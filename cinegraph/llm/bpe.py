@@ -314,72 +314,6 @@ def _packed(texts: list, ranks: str, pattern: str | None) -> list[bytes]:
     return [b"".join(map(table.__getitem__, split(text or ""))) for text in texts]
 
 
-def decode(self, ids) -> str:
-        out, state = [], self.state(b"")
-        for token in ids:
-            chars, state = state[token]
-            out.append(chars)
-        if state.held:
-            out.append("�")
-        return "".join(out)
-
-
-def incomplete_tail(data: bytes) -> int:
-    """How many last bytes (0 to 3) begin a character of UTF-8 that isn't complete."""
-    for back in range(1, min(3, len(data)) + 1):
-        lead = data[-back]
-        if lead & 0xC0 == 0x80:
-            continue
-        size = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 1
-        if size <= back:
-            return 0
-        if back > 1:
-            # the second byte's range shuts out overlong forms, surrogates and what is past U+10FFFF
-            low = {0xE0: 0xA0, 0xF0: 0x90}.get(lead, 0x80)
-            high = {0xED: 0x9F, 0xF4: 0x8F}.get(lead, 0xBF)
-            if not low <= data[1 - back] <= high:
-                return 0
-        return back
-    return 0
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> BoundedCache:
-    # states are many small tuples without cycles: let the collector look at them less often
-    gc.set_threshold(100_000, 20, 100)
-    made = Transducer(read_ranks(path))
-    return BoundedCache(lambda piece: np.array(made.encode(piece.encode("utf-8")), "<i4").tobytes(), MAX_PIECES)
-
-
-@lru_cache(maxsize=2)
-def _decoder(path: str) -> StreamDecoder:
-    return StreamDecoder({rank: token for token, rank in read_ranks(path).items()})
-
-
-def _path(ranks: str) -> str:
-    return ranks if "/" in ranks else tokenizer_path(ranks)
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str | None = None) -> DataFrame:
-    """(id, ids array<int>) of every row. ``ranks``: a rank file's path, or its name among the
-    installed public tokenizers; ``pattern`` splits texts into pieces (the public one by default)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import public_tokenizers
-        import regex
-
-        table = _vocabulary(_path(ranks))[2]
-        keep_only(table)
-        split = regex.compile(pattern or public_tokenizers.PATTERN).findall
-        packed = [b"".join(map(table.__getitem__, split(text or ""))) for text in batch.column(1).to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-        return pa.record_batch([batch.column(0), ids], names=["id", "ids"])
-
-    return map_slices(source, run, "id long, ids array<int>")
-
-
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``encoded`` (id, ids) with the decoded ``text``."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
