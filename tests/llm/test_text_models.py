@@ -167,7 +167,46 @@ def test_every_licence_rule_fires_on_its_wrapped_text(make_docs, prefix):
     got = {r.id: r for r in license_scan.scan(make_docs(list(enumerate(texts)))).collect()}
     for i, (rule, licence, order) in enumerate(license_scan.RULES):
         for r in (got[2 * i], got[2 * i + 1]):
-            assert rule in r.rules and licence in r.licences and r.sequence == list(order)
+            assert r.rules == [rule] and r.licences == [licence] and r.sequence == list(order)
+
+
+def rules_of(sequence):
+    """Brute force: at each sentence the longest rule that starts there, sentence by sentence."""
+    at, got = 0, set()
+    while at < len(sequence):
+        best = None
+        for rule, _, order in license_scan.RULES:
+            extra = {*license_scan.BETWEEN.get(rule, ()), "rights.reserved"} - set(order) if len(order) > 1 else set()
+            i, met = at, 0
+            while met < len(order) and i < len(sequence) and (sequence[i] == order[met] or sequence[i] in extra):
+                met += sequence[i] == order[met]
+                i += 1
+            if met == len(order) and (best is None or met > best[0]):
+                best = (met, i, rule)
+        if best:
+            got.add(best[2])
+        at = best[1] if best else at + 1
+    return sorted(got)
+
+
+def test_licence_rules_take_the_longest_and_use_up_its_sentences(make_docs):
+    rnd = random.Random(3)
+    s = license_scan.SENTENCES
+    parts = [k for k in s if k.split(".")[0] in ("bsd", "mit", "apache", "gpl", "rights", "isc")]
+    orders = [list(order) for _, _, order in license_scan.RULES if len(order) > 1]
+    bsd3 = ["rights.reserved", "bsd.grant", "bsd.source", "bsd.binary", "bsd.name", "bsd.asis"]
+    given = [bsd3, ["bsd.grant", "mit.grant", "bsd.asis"], ["bsd.grant", "bsd.grant", "bsd.asis"], ["rights.reserved", "mit.notice"]]
+    for _ in range(150):
+        order = list(rnd.choice(orders))
+        for _ in range(rnd.randrange(4)):
+            order.insert(rnd.randrange(len(order) + 1), rnd.choice(parts))
+        given.append(order + (rnd.choice(orders) if rnd.random() < 0.3 else []))
+    docs = make_docs([(i, "\n\nunknown words here\n\n".join(s[k] for k in seq)) for i, seq in enumerate(given)])
+    got = {r.id: r for r in license_scan.scan(docs).collect()}
+    for i, seq in enumerate(given):
+        assert got[i].sequence == seq and got[i].rules == rules_of(seq)
+    assert got[0].licences == ["BSD-3-Clause"] and got[1].rules == [] and got[2].rules == ["bsd2-text"]
+    assert got[3].licences == ["MIT", "proprietary"]
 
 
 def test_licence_sentences_end_at_marks_and_blank_lines(make_docs):
