@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinegraph.operators import ann as ann_ops
 from cinegraph.operators import availability as avail_ops
 from cinegraph.operators import graph as graph_ops
 from cinegraph.operators import movies as movie_ops
@@ -93,6 +94,7 @@ class Catalog:
         self.text_dim = text_dim
         self._root = root
         self._tables: dict[str, DataFrame] = {}
+        self._indexes: dict[str, ann_ops.Index] = {}
         self._lock = threading.Lock()                     # guards the per-table lock map
         self._table_locks: dict[str, threading.RLock] = {}
 
@@ -181,6 +183,17 @@ class Catalog:
     def text_vectors(self, dim: int = 768) -> DataFrame:
         return self._get(f"movie_text_vectors_{dim}", lambda: vec_ops.vectors_from_text(self.movies(), dim=dim))
 
+    def vector_index(self, n_cells: int, n_parts: int, n_words: int, iterations: int = 0):
+        """The stored index over ``vectors``, written once for each set of parameters."""
+        name = f"vector_index_{n_cells}_{n_parts}_{n_words}_{iterations}"
+        with self._lock:
+            lock = self._table_locks.setdefault(name, threading.RLock())
+        with lock:
+            if name not in self._indexes:
+                model = ann_ops.fit(self.vectors(), n_cells, n_parts, n_words, n_cells + n_words, iterations)
+                self._indexes[name] = ann_ops.write_index(self.vectors(), model, f"{self.root}/{name}")
+            return self._indexes[name]
+
     def build_all(self, parallelism: int = 4) -> dict[str, int]:
         """Run the whole batch build; returns row counts per table.
 

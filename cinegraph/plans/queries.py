@@ -6,7 +6,6 @@ orders); every ranking ends on a unique key; integer columns are BIGINT on both
 
 from __future__ import annotations
 
-import math
 import uuid
 from functools import reduce
 from typing import Callable
@@ -618,6 +617,12 @@ def q_csv_inputs(spark, sf_dir):
 # ---------------------------------------------------------------- text embedding and ANN
 TEXT_DIM = 768     # embedding width of the source application's model
 ANN_K = 10
+# The index of the vector queries. The given vectors lie without clusters on the sphere, so
+# nearly all lists are probed; what is saved is the reading of full vectors.
+ANN_CELLS, ANN_PROBE = 16, 15
+ANN_PARTS, ANN_WORDS = 32, 128
+ANN_WIDTH = 2      # dimensions of a part: 64 / 32
+ANN_RERANK = 40
 
 
 # The hashing encoder in SQL: terms, their entries by MD5, unit vectors rounded to single precision.
@@ -681,22 +686,98 @@ def q_search_by_text(spark, sf_dir):
     return search(q, c.text_vectors(TEXT_DIM), limit=LIMIT)
 
 
-@register("ann_recall")
-def q_ann_recall(spark, sf_dir):
-    """IVF search (k-means cells, nprobe of them) against exact search; recall@10 per query.
-    Queries: every vector of the embeddings table."""
+# The index in SQL: centres and words are those of the first vectors by MD5 of their id.
+_ANN_EXTRA = {
+    "ann_drawn": """
+SELECT movie_id, embedding, row_number() OVER (ORDER BY md5(CAST(movie_id AS VARCHAR)), movie_id) AS rn FROM movie_vectors""",
+    "ann_entries": """
+SELECT movie_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM movie_vectors""",
+    "ann_asked": "SELECT vec_id AS query_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
+    "ann_centers": f"""
+SELECT d.rn - 1 AS cell, e.i, e.v FROM ann_drawn d JOIN ann_entries e ON e.movie_id = d.movie_id WHERE d.rn <= {ANN_CELLS}""",
+    "ann_cells": """
+SELECT movie_id, cell FROM (
+  SELECT e.movie_id, c.cell, row_number() OVER (PARTITION BY e.movie_id ORDER BY round(sum(e.v * c.v), 9) DESC, c.cell) AS rn
+  FROM ann_entries e JOIN ann_centers c ON c.i = e.i GROUP BY e.movie_id, c.cell) WHERE rn = 1""",
+    "ann_rest": f"""
+SELECT e.movie_id, e.i // {ANN_WIDTH} AS part, e.i % {ANN_WIDTH} AS j, e.v - c.v AS v
+FROM ann_entries e JOIN ann_cells a ON a.movie_id = e.movie_id JOIN ann_centers c ON c.cell = a.cell AND c.i = e.i""",
+    "ann_words": f"""
+SELECT d.rn - {ANN_CELLS + 1} AS word, r.part, r.j, r.v FROM ann_drawn d JOIN ann_rest r ON r.movie_id = d.movie_id
+WHERE d.rn > {ANN_CELLS} AND d.rn <= {ANN_CELLS + ANN_WORDS}""",
+    "ann_codes": """
+SELECT movie_id, part, word FROM (
+  SELECT r.movie_id, r.part, w.word,
+         row_number() OVER (PARTITION BY r.movie_id, r.part ORDER BY round(sum((r.v - w.v) * (r.v - w.v)), 9), w.word) AS rn
+  FROM ann_rest r JOIN ann_words w ON w.part = r.part AND w.j = r.j GROUP BY r.movie_id, r.part, w.word) WHERE rn = 1""",
+    "ann_probes": f"""
+SELECT query_id, cell, base FROM (
+  SELECT q.query_id, c.cell, sum(q.v * c.v) AS base,
+         row_number() OVER (PARTITION BY q.query_id ORDER BY round(sum(q.v * c.v), 9) DESC, c.cell) AS rn
+  FROM ann_asked q JOIN ann_centers c ON c.i = q.i GROUP BY q.query_id, c.cell) WHERE rn <= {ANN_PROBE}""",
+    "ann_tables": f"""
+SELECT q.query_id, w.part, w.word, sum(q.v * w.v) AS v
+FROM ann_asked q JOIN ann_words w ON w.part = q.i // {ANN_WIDTH} AND w.j = q.i % {ANN_WIDTH} GROUP BY q.query_id, w.part, w.word""",
+    "ann_read": """
+SELECT p.query_id, a.movie_id, p.base FROM ann_probes p JOIN ann_cells a ON a.cell = p.cell""",
+    "ann_best": f"""
+SELECT query_id, movie_id FROM (
+  SELECT r.query_id, r.movie_id, row_number() OVER (PARTITION BY r.query_id
+           ORDER BY round(any_value(r.base) + sum(t.v), 9) DESC, r.movie_id) AS rn
+  FROM ann_read r JOIN ann_codes c ON c.movie_id = r.movie_id
+  JOIN ann_tables t ON t.query_id = r.query_id AND t.part = c.part AND t.word = c.word
+  GROUP BY r.query_id, r.movie_id) WHERE rn <= {ANN_RERANK}""",
+    "ann_exact": """
+SELECT q.vec_id AS query_id, v.movie_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
+FROM embeddings q CROSS JOIN movie_vectors v""",
+    "ann_found": f"""
+SELECT * FROM (
+  SELECT b.query_id, b.movie_id, x.score,
+         row_number() OVER (PARTITION BY b.query_id ORDER BY round(x.score, 9) DESC, b.movie_id) AS rank
+  FROM ann_best b JOIN ann_exact x ON x.query_id = b.query_id AND x.movie_id = b.movie_id) WHERE rank <= {ANN_K}""",
+    "ann_true": f"""
+SELECT * FROM (
+  SELECT query_id, movie_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, movie_id) AS rank
+  FROM ann_exact) WHERE rank <= {ANN_K}""",
+}
+
+
+def _ann(spark, sf_dir):
+    """(queries, the stored index, vectors, hits): every vector of the embeddings table asks."""
     c = catalog(spark, sf_dir)
     vectors = c.vectors().select("movie_id", "embedding")
-    n = vectors.count()
-    n_cells = max(2, int(round(math.sqrt(n))))
-    nprobe = max(1, n_cells // 2)
-    centers, assigned = ann_ops.build_ivf(vectors, n_cells)
-    queries = adapters.embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
-    approx = ann_ops.ivf_search(queries, centers, assigned, ANN_K, nprobe)
-    exact = knn_exact(queries, vectors, ANN_K)
-    rec = ann_ops.recall_at_k(approx, exact)
-    return rec.select(big("query_id"), F.round("recall", 6).alias("recall"), big("k"),
-                      F.lit(n_cells).cast("bigint").alias("n_cells"), F.lit(nprobe).cast("bigint").alias("nprobe"))
+    asked = adapters.embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    index = c.vector_index(ANN_CELLS, ANN_PARTS, ANN_WORDS)
+    return asked, index, vectors, ann_ops.search_index(asked, index, vectors, ANN_K, ANN_PROBE, ANN_RERANK)
+
+
+@register("ann_search", assemble("""
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, CAST(movie_id AS BIGINT) AS movie_id,
+       round(score, 6) AS score FROM ann_found""", _ANN_EXTRA))
+def q_ann_search(spark, sf_dir):
+    """The ten best movies of every query vector by the stored index: lists of quantised codes, the
+    best codes ranked exactly."""
+    found = _ann(spark, sf_dir)[3]
+    return found.select(big("query_id"), F.col("vec_rank").cast("bigint").alias("rank"), big("movie_id"), r6("score"))
+
+
+@register("ann_recall", assemble(f"""
+SELECT CAST(t.query_id AS BIGINT) AS query_id, round(count(f.movie_id) / count(*), 6) AS recall, count(*) AS k,
+       any_value(r.codes) AS codes_read, CAST(least({ANN_RERANK}, any_value(r.codes)) AS BIGINT) AS vectors_read,
+       (SELECT count(*) FROM movie_vectors) AS vectors
+FROM ann_true t LEFT JOIN ann_found f ON f.query_id = t.query_id AND f.movie_id = t.movie_id
+JOIN (SELECT query_id, count(*) AS codes FROM ann_read GROUP BY query_id) r ON r.query_id = t.query_id
+GROUP BY t.query_id""", _ANN_EXTRA))
+def q_ann_recall(spark, sf_dir):
+    """Recall@10 of the stored index against exact search for every query vector, with the codes
+    and the full vectors that a query reads."""
+    asked, index, vectors, found = _ann(spark, sf_dir)
+    rec = ann_ops.recall_at_k(found, knn_exact(asked, vectors, ANN_K))
+    read = ann_ops.codes_read(asked, index, ANN_PROBE)
+    return rec.join(read, "query_id").select(
+        big("query_id"), F.round("recall", 6).alias("recall"), big("k"), F.col("codes").cast("bigint").alias("codes_read"),
+        F.least(F.lit(ANN_RERANK), F.col("codes")).cast("bigint").alias("vectors_read"),
+        vectors.select(F.count(F.lit(1))).scalar().alias("vectors"))
 
 
 def queries() -> dict[str, Builder]:
