@@ -30,7 +30,7 @@ _DOUBLE = re.compile(f"[{SURE}{UNSURE}] ")
 _LETTERS = re.compile(f"[{LETTERS}]+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-ins of byte-level vocabularies: printable bytes are themselves, the
     others take the code points from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,7 +38,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-_BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS = byte_letters()
 
 
 def byte_level(text: str) -> str:

@@ -1,13 +1,25 @@
-"""Token counts by a finite-state transducer compiled from a byte-pair tokenizer.
-
-States and transitions. The tokenizer's pre-tokenizer ends a word wherever a character
+"""Token counts by a finite-state transducer compiled from a byte-pair tokenizer's merges.
+
+States and transitions. ``Merges`` compiles the merge list of a byte-level tokenizer: a state
+is the set of places where a token may start, each with the tokens it is ahead of the least,
+the token before it and the bytes read since (a node of the tokens' trie). Two neighbours may
+stand side by side exactly if the merges leave them apart, so a byte extends each place, ends at
+most one token, and drops places that nothing can follow. Each transition is annotated with the
+number of tokens that all places of its target agree on; the counts along a path, and those its
+last state still holds back, are the tokens of the word. Transitions are determinised on first use
+and bounded in number; beyond the bound they are forgotten and compiled anew. Whenever a token is
+first met, its last merge is held against the list.
+
+Words are cut as the tokenizer's pattern cuts them. It ends a word wherever a character
 that is certainly no white space is followed by white space, whatever came before. Reading
 such a boundary therefore resets the machine: every state goes to the same state. Between
 two resets the input is one *piece* (white space, then a word), and the path that a piece
-takes from the reset state back to it is one transition of the compiled transducer,
-annotated with the number of tokens that it emits. Transitions are determinised on first
-use: the tokenizer itself is asked once for a piece, later ones follow the stored
-transition. The table is bounded; transitions that fall out of use are dropped from it.
+takes from the reset state back to it is kept as one transition with its count, in a bounded
+table too.
+
+The library's part: characters that are newer than Python's Unicode tables are cut as the library's
+pattern cuts them. Tokenizer files of other kinds (a normaliser, word ends, sentencepiece) are not
+compiled: there the library counts a piece on first use, or the whole text for a ``.model`` file.
 
 Chunks. A text is read in chunks of ``CHUNK_CHARS`` characters, cut anywhere. A chunk's
 state map has to answer for every state in which the chunk may be entered; as all states
@@ -25,14 +37,19 @@ are ignored; special strings inside texts are handled as the library's default d
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import partial
 from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinegraph.llm import bpe
 from cinegraph.llm.common import BoundedCache, keep_only, map_slices, read_table
-from cinegraph.llm.pieces import PIECE, SYNC, byte_level, load_tokenizer, plain_parts, spaced_words, tokenizer_path
+from cinegraph.llm.pieces import PIECE, SYNC, byte_letters, load_tokenizer, plain_parts, spaced_words, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK_CHARS = 1 << 15
@@ -51,34 +68,147 @@ class StateMap(NamedTuple):
     synced: bool
 
 
+# The pattern of byte-level pre-tokenizers (fixed value), with Unicode's white space.
+WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+         r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# Byte transitions kept; a piece's own transition spares most walks over them.
+MAX_STEPS = 200_000
+
+
+class Merges(bpe.Transducer):
+    """Counts the tokens that a list of merges (pairs of bytes, the first merged first) makes of a word.
+
+    Tokens are numbered by their merge, bytes by themselves. The trie of tokens and the test whether two
+    neighbours stay apart are the encoder's; states and transitions here hold counts instead of tokens.
+    """
+
+    def __init__(self, merges: list[tuple[bytes, bytes]], max_transitions: int = MAX_STEPS):
+        ranks = {bytes([b]): b for b in range(256)}
+        for i, (a, b) in enumerate(merges):
+            ranks.setdefault(a + b, 256 + i)
+        self._pairs = merges
+        super().__init__(ranks, max_transitions)
+
+    def _reset(self) -> None:
+        # a state: (tokens ahead, token before, trie node since) of each place, the oldest first
+        self._states: list[tuple] = [((0, -1, 0),)]
+        self._numbers: dict[tuple, int] = {self._states[0]: 0}
+        self._next: dict[int, tuple[int, int]] = {}  # by state << 8 | byte: next state, tokens emitted
+
+    def _edges(self, token: int):
+        found = super()._edges(token)
+        # merges go by pairs, the trie by the bytes they give: both are one if a token's bytes end in its own pair
+        if token >= 256 and (found is None or (found[0][-2][0], found[1][-2][0]) != self._pairs[token - 256]):
+            raise ValueError(f"the merges of {self.bytes_of[token]!r} do not build it: not a list that can be compiled")
+        return found
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        alive, ended = [], None
+        for ahead, before, node in self._states[state]:
+            node = self._child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if ended is None:
+                token = self._token[node]
+                if token >= 0 and self.fits(before, token):
+                    ended = (ahead + 1, token, 0)
+            if self.may_go_on(before, node):
+                alive.append((ahead, before, node))
+        alive.append(ended)
+        sure = min(ahead for ahead, _, _ in alive)
+        found = self._next[state << 8 | byte] = (
+            self._number(tuple([(ahead - sure, before, node) for ahead, before, node in alive])), sure)
+        return found
+
+    def count(self, word: bytes) -> int:
+        """Tokens of one word."""
+        state = n = 0
+        for byte in word:
+            step = self._next.get(state << 8 | byte)
+            if step is None:
+                if len(self._next) >= self.max_transitions:
+                    # full: start with an empty table, from the state reached
+                    reached = self._states[state]
+                    self._reset()
+                    state = self._number(reached)
+                step = self._compile(state, byte)
+            state = step[0]
+            n += step[1]
+        # of the places, the youngest is the one that ends here
+        return n + self._states[state][-1][0]
+
+
+def compiled_words(path: str):
+    """``count(text)`` compiled from a byte-level tokenizer file, or None if the file is of another kind."""
+    if not path.endswith(".json"):
+        return None
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model, cut = made["model"], made.get("pre_tokenizer") or {}
+    plain = (model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+             and not any([cut.get("add_prefix_space", True), made.get("normalizer"), made.get("post_processor"),
+                          made.get("truncation"), model.get("dropout"), model.get("unk_token"), model.get("ignore_merges"),
+                          model.get("continuing_subword_prefix"), model.get("end_of_word_suffix")])
+             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"]))
+    if not plain:
+        return None
+    shown = {c: b for b, c in byte_letters().items()}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else m for m in model["merges"]]
+    machine = Merges([(bytes(map(shown.__getitem__, a)), bytes(map(shown.__getitem__, b))) for a, b in pairs])
+    return partial(_count_text, machine, regex.compile(WORDS), _special(made["added_tokens"]), partial(_library_cut, path, shown))
+
+
+def _special(tokens: list[dict]):
+    """A pattern of the special strings, the longest first, or None."""
+    found = sorted((t["content"] for t in tokens), key=len, reverse=True)
+    return regex.compile("|".join(map(regex.escape, found))) if found else None
+
+
+def _library_cut(path: str, shown: dict[str, int], text: str) -> list[bytes]:
+    """Words of a text with characters of a Unicode version that Python doesn't know."""
+    if path not in _LIBRARY:
+        _LIBRARY[path] = load_tokenizer(path).pre_tokenizer
+    return [bytes(map(shown.__getitem__, word)) for word, _ in _LIBRARY[path].pre_tokenize_str(text)]
+
+
+_LIBRARY: dict = {}
+
+
+def _count_text(machine: Merges, words, special, library_cut, text: str) -> int:
+    parts = special.split(text) if special else [text]
+    n = len(parts) - 1
+    for part in parts:
+        if part.isascii() or not any(unicodedata.category(c) == "Cn" for c in part):
+            cut = [w.encode("utf-8") for w in words.findall(part)]
+        else:
+            cut = library_cut(part)
+        n += sum(map(machine.count, cut))
+    return n
+
+
 class Transducer:
     """Token-counting transducer of one tokenizer file."""
 
     def __init__(self, path: str):
-        self._tokenizer = load_tokenizer(path)
+        count = compiled_words(path)
+        self.compiled = count is not None
         # a sentencepiece model joins words across white space: its only safe piece is the whole text
-        self.cuts = hasattr(self._tokenizer, "encode_batch")
-        self._model = self._tokenizer.model if self.cuts else None
-        self.transitions = BoundedCache(self._emit, MAX_TRANSITIONS)
+        self.cuts = path.endswith(".json")
+        if count is None:
+            library = load_tokenizer(path)
+            count = (lambda text: len(library.encode(text, add_special_tokens=False))) if self.cuts else (
+                lambda text: len(library.encode(text)))
+        self._emit = count
+        self.transitions = BoundedCache(count, MAX_TRANSITIONS)
         self.spaced = BoundedCache(self._emit_spaced, MAX_TRANSITIONS)
-        # of a byte-level tokenizer with a plain pre-tokenizer, words of letters are model words
-        probe = " Probe" if self.cuts else ""
-        self._byte_level = bool(probe) and self._tokenizer.pre_tokenizer is not None and (
-            self._tokenizer.normalizer is None and self._tokenizer.pre_tokenizer.pre_tokenize_str(probe)[0][0] == "ĠProbe")
-
-    def _emit(self, piece: str) -> int:
-        if self.cuts:
-            return len(self._tokenizer.encode(piece, add_special_tokens=False))
-        return len(self._tokenizer.encode(piece))
 
     def _emit_spaced(self, word: str) -> int:
         """Tokens of a space and ``word``."""
-        parts = plain_parts(word) if self._byte_level else None
+        parts = plain_parts(word) if self.compiled else None
         if parts is None:
             return self._emit(" " + word)
         letters, marks = parts
-        n = len(self._model.tokenize("Ġ" + byte_level(letters)))
-        return n + self.transitions[marks] if marks else n
+        return self._emit(" " + letters) + (self.transitions[marks] if marks else 0)
 
     def run(self, text: str) -> int:
         """Tokens emitted on a text that starts and ends in the reset state."""

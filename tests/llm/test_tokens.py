@@ -1,10 +1,12 @@
 """Token counts, packing and decontamination against the libraries and brute force."""
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from llm_fixtures import clashing, make_docs, odd_rows, rows  # noqa: F401
 from tokenizers import Tokenizer
 
@@ -28,6 +30,51 @@ def test_transducer_counts_like_the_library():
             assert machine.count(text, size) == want, (text, size)
 
 
+def test_words_are_counted_by_the_compiled_merges_alone(monkeypatch):
+    """Every kind of word, without the library; its counts are only compared."""
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(path)
+    machine = token_counts.compiled_words(path).args[0]
+    monkeypatch.setattr(token_counts, "load_tokenizer", None)
+    vocabulary = [library.decode([i]) for i in range(0, 50256, 23)]
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice(vocabulary).strip() for _ in range(rnd.randint(1, 4))) for _ in range(2000)]
+    words += [" " + "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(1, 40))) for _ in range(2000)]
+    words += ["a" * n for n in range(1, 60)] + ["=" * n for n in range(1, 300, 7)] + ["ß" * 9, "日本語" * 5, "é" * 33]
+    count = token_counts.compiled_words(path)
+    for word in words:
+        if not any(unicodedata.category(c) == "Cn" for c in word):
+            assert count(word) == len(library.encode(word, add_special_tokens=False).ids), word
+    assert machine.count(b"") == 0
+
+
+def test_few_transitions_give_the_same_counts():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    count = token_counts.compiled_words(path)
+    machine, words = count.args[0], ["understanding", "misunderstandings", " unbelievable", "zzzzzzzzzzzz", "thequickbrownfox"]
+    want = list(map(count, words))
+    machine.max_transitions = 5
+    machine._reset()
+    assert list(map(count, words)) == want and len(machine._next) <= 5
+
+
+def test_texts_are_cut_like_the_library_at_every_character():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library, machine = Tokenizer.from_file(path), Transducer(path)
+    points = [c for c in range(0x3000) if not 0xD800 <= c < 0xE000] + list(range(0x3000, 0x110000, 997))
+    for c in (chr(c) for c in points if not 0xD800 <= c < 0xE000):
+        text = f"a{c}1{c}! {c}  {c}{c}.a {c}"
+        assert machine.count(text, 1000) == len(library.encode(text, add_special_tokens=False).ids), hex(ord(c))
+
+
+def test_merges_that_do_not_build_their_token_are_refused():
+    # "abc" is listed as ab + c, but b + c comes first
+    machine = token_counts.Merges([(b"b", b"c"), (b"a", b"b"), (b"ab", b"c")])
+    with pytest.raises(ValueError):
+        machine.count(b"abc")
+    assert token_counts.Merges([(b"a", b"b"), (b"ab", b"c")]).count(b"abcab") == 2
+
+
 def test_state_maps_compose_associatively():
     machine = Transducer(str(public_tokenizers.path("byte_bpe_50k.json")))
     rnd = random.Random(4)
