@@ -37,6 +37,7 @@ are ignored; special strings inside texts are handled as the library's default d
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from functools import partial
@@ -72,7 +73,20 @@ class StateMap(NamedTuple):
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 # Byte transitions kept; a piece's own transition spares most walks over them.
-MAX_STEPS = 200_000
+MAX_STEPS = 400_000
+
+
+class State(dict):
+    """A state's transitions, byte -> (next state, tokens emitted), compiled on first use.
+
+    ``places`` holds (tokens ahead, token before, trie node since) of each place, the oldest first.
+    """
+
+    __slots__ = ("machine", "places")
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        found = self[byte] = self.machine.step(self.places, byte)
+        return found
 
 
 class Merges(bpe.Transducer):
@@ -90,21 +104,35 @@ class Merges(bpe.Transducer):
         super().__init__(ranks, max_transitions)
 
     def _reset(self) -> None:
-        # a state: (tokens ahead, token before, trie node since) of each place, the oldest first
-        self._states: list[tuple] = [((0, -1, 0),)]
-        self._numbers: dict[tuple, int] = {self._states[0]: 0}
-        self._next: dict[int, tuple[int, int]] = {}  # by state << 8 | byte: next state, tokens emitted
+        for state in getattr(self, "_known", {}).values():
+            state.clear()  # they refer to each other
+        self._known: dict[tuple, State] = {}
+        self.steps = 0
+        self._start = self._state(((0, -1, 0),))
+
+    def _state(self, places: tuple) -> State:
+        found = self._known.get(places)
+        if found is None:
+            found = self._known[places] = State()
+            found.machine, found.places = self, places
+        return found
 
     def _edges(self, token: int):
+        found = self._spines.get(token)
+        if found is not None:
+            return found
         found = super()._edges(token)
         # merges go by pairs, the trie by the bytes they give: both are one if a token's bytes end in its own pair
         if token >= 256 and (found is None or (found[0][-2][0], found[1][-2][0]) != self._pairs[token - 256]):
             raise ValueError(f"the merges of {self.bytes_of[token]!r} do not build it: not a list that can be compiled")
         return found
 
-    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+    def step(self, places: tuple, byte: int) -> tuple[State, int]:
+        """The transition (next state, tokens emitted) of a state under a byte."""
+        if self.steps >= self.max_transitions:
+            self._reset()
         alive, ended = [], None
-        for ahead, before, node in self._states[state]:
+        for ahead, before, node in places:
             node = self._child.get(node << 8 | byte)
             if node is None:
                 continue
@@ -115,27 +143,20 @@ class Merges(bpe.Transducer):
             if self.may_go_on(before, node):
                 alive.append((ahead, before, node))
         alive.append(ended)
-        sure = min(ahead for ahead, _, _ in alive)
-        found = self._next[state << 8 | byte] = (
-            self._number(tuple([(ahead - sure, before, node) for ahead, before, node in alive])), sure)
-        return found
+        sure = min([ahead for ahead, _, _ in alive])
+        if sure:
+            alive = [(ahead - sure, before, node) for ahead, before, node in alive]
+        self.steps += 1
+        return self._state(tuple(alive)), sure
 
     def count(self, word: bytes) -> int:
         """Tokens of one word."""
-        state = n = 0
+        state, n = self._start, 0
         for byte in word:
-            step = self._next.get(state << 8 | byte)
-            if step is None:
-                if len(self._next) >= self.max_transitions:
-                    # full: start with an empty table, from the state reached
-                    reached = self._states[state]
-                    self._reset()
-                    state = self._number(reached)
-                step = self._compile(state, byte)
-            state = step[0]
-            n += step[1]
+            state, sure = state[byte]
+            n += sure
         # of the places, the youngest is the one that ends here
-        return n + self._states[state][-1][0]
+        return n + state.places[-1][0]
 
 
 def compiled_words(path: str):
@@ -192,6 +213,7 @@ class Transducer:
     def __init__(self, path: str):
         count = compiled_words(path)
         self.compiled = count is not None
+        self._machine = count.args[0] if self.compiled else None
         # a sentencepiece model joins words across white space: its only safe piece is the whole text
         self.cuts = path.endswith(".json")
         if count is None:
@@ -208,7 +230,8 @@ class Transducer:
         if parts is None:
             return self._emit(" " + word)
         letters, marks = parts
-        return self._emit(" " + letters) + (self.transitions[marks] if marks else 0)
+        n = self._machine.count(b" " + letters.encode("utf-8"))
+        return n + self.transitions[marks] if marks else n
 
     def run(self, text: str) -> int:
         """Tokens emitted on a text that starts and ends in the reset state."""
@@ -284,6 +307,8 @@ _COMPILED: dict[str, Transducer] = {}
 def compiled(path: str) -> Transducer:
     """One transducer for each tokenizer file and worker process."""
     if path not in _COMPILED:
+        # states are many small tuples: let the collector look at them less often
+        gc.set_threshold(100_000, 20, 100)
         _COMPILED[path] = Transducer(path)
     keep_only(_COMPILED[path].transitions, _COMPILED[path].spaced)
     return _COMPILED[path]
