@@ -25,8 +25,11 @@ from cinegraph.operators import tags as tag_ops
 from cinegraph.operators import vectors as vec_ops
 from cinegraph.session import ensure_checkpoint_dir
 from cinegraph.sources import adapters, readers
+from cinegraph.sources.bucketed import BucketedTable, write_bucketed
 
 _LOCK = threading.Lock()
+# Buckets of the tables laid out by movie: one task each, so at scale some hundred MB of edges a bucket.
+BUCKETS = 64
 _CATALOGS: dict[tuple[str, str], "Catalog"] = {}
 
 # Parquet layout: sort columns inside each written partition. The sort is local (no
@@ -94,6 +97,7 @@ class Catalog:
         self.text_dim = text_dim
         self._root = root
         self._tables: dict[str, DataFrame] = {}
+        self._bucketed: dict[str, BucketedTable] = {}
         self._indexes: dict[str, ann_ops.Index] = {}
         self._lock = threading.Lock()                     # guards the per-table lock map
         self._table_locks: dict[str, threading.RLock] = {}
@@ -183,6 +187,17 @@ class Catalog:
     def text_vectors(self, dim: int = 768) -> DataFrame:
         return self._get(f"movie_text_vectors_{dim}", lambda: vec_ops.vectors_from_text(self.movies(), dim=dim))
 
+    def by_movie(self, name: str, n_buckets: int = BUCKETS) -> BucketedTable:
+        """``rated``, ``movie_nodes`` or another table with a movie_id, laid out by it (written once)."""
+        key = f"{name}_by_movie_{n_buckets}"
+        with self._lock:
+            lock = self._table_locks.setdefault(key, threading.RLock())
+        with lock:
+            if key not in self._bucketed:
+                table = getattr(self, {"movie_nodes": "nodes"}.get(name, name))()
+                self._bucketed[key] = write_bucketed(table, f"{self.root}/{key}", "movie_id", n_buckets)
+            return self._bucketed[key]
+
     def vector_index(self, n_cells: int, n_parts: int, n_words: int, iterations: int = 0):
         """The stored index over ``vectors``, written once for each set of parameters."""
         name = f"vector_index_{n_cells}_{n_parts}_{n_words}_{iterations}"

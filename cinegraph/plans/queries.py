@@ -168,6 +168,21 @@ def q_rated_edges(spark, sf_dir):
     return catalog(spark, sf_dir).rated().select(big("user_id"), big("movie_id"), "rating")
 
 
+@register("movie_audience", assemble("""
+SELECT CAST(n.movie_id AS BIGINT) AS movie_id, n.title, CAST(n.year AS BIGINT) AS year, count(*) AS ratings,
+       count(*) FILTER (WHERE r.rating >= 4.0) AS loved, round(avg(r.rating), 6) AS mean_rating
+FROM rated r JOIN movie_nodes n ON n.movie_id = r.movie_id GROUP BY n.movie_id, n.title, n.year"""))
+def q_movie_audience(spark, sf_dir):
+    """Ratings, and those from 4 up, of every rated movie: edges and nodes lie in buckets by movie, so
+    they are joined and grouped where they lie (the edges of hot movies apart)."""
+    c = catalog(spark, sf_dir)
+    rated, nodes = c.by_movie("rated"), c.by_movie("movie_nodes")
+    return rated.join(nodes, lambda edges: edges.groupBy("movie_id", "title", "year").agg(
+        F.count(F.lit(1)).alias("ratings"), F.count_if(F.col("rating") >= 4.0).alias("loved"),
+        F.round(F.avg("rating"), 6).alias("mean_rating"))).select(
+        big("movie_id"), "title", big("year"), "ratings", "loved", "mean_rating")
+
+
 @register("graph_counts", assemble("""
 SELECT 'node' AS kind, 'Movie' AS label, count(*) AS n FROM movie_nodes
 UNION ALL SELECT 'node', 'Genre', count(DISTINCT genre) FROM has_genre
