@@ -213,3 +213,10 @@ def test_t10_blank_tags_dropped_after_ranking(spark):
     t = spark.createDataFrame([(1, "   ")] * 3 + [(1, "ok")] * 2, "movieId long, tag string")
     mt = build_tags(t, spark.createDataFrame([(1,)], "movie_id long"))
     assert rows(mt) == [(1, "ok", 2)]
+
+
+def test_texts_are_not_broadcast(spark, sf_small):
+    """A documents file under the broadcast threshold may hold any amount of (repeated) text."""
+    from cinegraph.sources import adapters
+    plan = adapters.ext_meta(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
