@@ -553,13 +553,16 @@ QUALIFY row_number() OVER (PARTITION BY user_id, movie_id ORDER BY day DESC, seq
 def q_merge_rated(spark, sf_dir):
     """RATED edges kept up to date: a first load, then each year's ratings merged by (user, movie);
     a later rating replaces an earlier one, and only touched buckets are rewritten."""
-    events = adapters.rating_events(spark, sf_dir).withColumn("year", F.year("day"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cinegraph-tables/{uuid.uuid4().hex}/rated_keyed"
-    rated = KeyedTable(spark, path, ["user_id", "movie_id"])
-    rated.create(events.where(F.col("year") < FIRST_DELTA_YEAR), ["day", "seq", "rating"])
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cinegraph-tables/{uuid.uuid4().hex}"
+    # lines meet their orders once; the first load and each delta read the folders of their years
+    joined = adapters.rating_events(spark, sf_dir).withColumn("year", F.year("day"))
+    joined.write.partitionBy("year").parquet(f"{root}/events")
+    events = spark.read.schema(joined.schema).parquet(f"{root}/events")
+    rated = KeyedTable(spark, f"{root}/rated_keyed", ["user_id", "movie_id"])
+    rated.create(events.where(F.col("year") < FIRST_DELTA_YEAR).drop("year"), ["day", "seq", "rating"])
     later = events.where(F.col("year") >= FIRST_DELTA_YEAR)
     for (year,) in sorted(later.select("year").distinct().collect()):
-        rated.merge(later.where(F.col("year") == year), ["day", "seq", "rating"])
+        rated.merge(later.where(F.col("year") == year).drop("year"), ["day", "seq", "rating"])
     return rated.read().select(big("user_id"), big("movie_id"), "rating", big("seq"))
 
 

@@ -3,22 +3,21 @@
 A table is Parquet laid out in a fixed number of buckets, a hash of its key, one folder each.
 A delta is reduced to its last row per key, by an order that the caller must give. Only the
 buckets that its keys fall into are read (partition pruning), merged and written back (dynamic
-partition overwrite); all other files stay as they are. The merged buckets are first written
-beside the table, in the shared folder, so a job that is lost on the way leaves the table whole,
-and the same merge again gives the same table.
+partition overwrite); all other files stay as they are. Table and delta are dealt out once, by
+bucket, and written from there: Spark stages the new buckets and moves them into place when all are
+written, so a job that is lost before leaves the table whole, and the same merge again gives the
+same table.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegraph.session import ensure_checkpoint_dir
 from cinegraph.sources.sinks import last_per_key
 
 BUCKET = "_bucket"
+_FRESH = "_fresh"
 
 
 class KeyedTable:
@@ -31,13 +30,13 @@ class KeyedTable:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def _write(self, df: DataFrame, path: str) -> None:
-        # a bucket's rows meet in one task, so each touched bucket is one file
-        (df.repartition(BUCKET).sortWithinPartitions(BUCKET, *self.keys).write.mode("overwrite")
+        # a bucket's rows have met in one task, so each touched bucket is one file
+        (df.sortWithinPartitions(BUCKET, *self.keys).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
 
     def create(self, rows: DataFrame, order: list[str]) -> None:
         """First load: the last row per key by ``order``."""
-        self._write(self._with_bucket(last_per_key(rows, self.keys, order)), self.path)
+        self._write(self._with_bucket(last_per_key(rows, self.keys, order)).repartition(BUCKET), self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path).drop(BUCKET)
@@ -47,18 +46,13 @@ class KeyedTable:
 
         Rows of the delta win over the table's, whatever they hold; an empty delta writes nothing.
         """
-        fresh = self._with_bucket(last_per_key(delta, self.keys, order))
-        touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())  # at most ``buckets`` numbers
+        touched = sorted(r[0] for r in self._with_bucket(delta).select(BUCKET).distinct().collect())  # at most ``buckets`` numbers
         if not touched:
             return []
         table = self.spark.read.parquet(self.path)
-        old = table.where(F.col(BUCKET).isin(touched))
-        same = None
-        for k in self.keys:
-            test = F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
-            same = test if same is None else same & test
-        kept = old.alias("o").join(fresh.select(*self.keys).alias("n"), same, "left_anti")
-        beside = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/cinegraph-merge/{uuid.uuid4().hex}"
-        kept.unionByName(fresh.select(*table.columns)).write.parquet(beside)
-        self._write(self.spark.read.schema(table.schema).parquet(beside), self.path)
+        old = table.where(F.col(BUCKET).isin(touched)).withColumn(_FRESH, F.lit(0))
+        fresh = self._with_bucket(last_per_key(delta, self.keys, order)).select(*table.columns).withColumn(_FRESH, F.lit(1))
+        # a bucket is a function of the key: rows dealt out by it are grouped by key without another shuffle
+        both = old.unionByName(fresh).repartition(BUCKET)
+        self._write(last_per_key(both, [BUCKET, *self.keys], [_FRESH]).drop(_FRESH), self.path)
         return touched

@@ -197,6 +197,43 @@ def test_keyed_table_merges_touched_buckets_only(spark, tmp_path):
         assert len(touched) <= len(delta)
 
 
+def test_a_merge_writes_its_buckets_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from cinegraph.sources.merge import KeyedTable
+    written, plain = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(path), plain(self, path, *a, **k))[1])
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    table.create(spark.createDataFrame([(i, 0) for i in range(50)] + [(None, 0)], "k long, seq long"), ["seq"])
+    table.merge(spark.createDataFrame([(3, 1), (3, 2), (77, 1), (None, 1)], "k long, seq long"), ["seq"])
+    assert written == [table.path] * 2
+    assert {r.k: r.seq for r in table.read().collect()} == {**{i: 0 for i in range(50)}, 3: 2, 77: 1, None: 1}
+    assert table.read().count() == 52
+
+
+def test_merge_rated_joins_its_lines_once(spark, monkeypatch):
+    import datetime
+
+    from cinegraph.plans import queries
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(day):
+        seen.add(1)
+        return day
+
+    def events(spark, sf_dir):
+        lines = [(u, m, 1.0 + y % 3, datetime.date(y, 1 + m, 1), 10 * y + m)
+                 for y in (1995, 1996, 1997, 1998) for u in range(6) for m in range(3) if (u + y) % 4]
+        df = spark.createDataFrame(lines, "user_id long, movie_id long, rating double, day date, seq long")
+        return df.withColumn("day", F.udf(counted, "date")("day"))
+
+    monkeypatch.setattr(queries.adapters, "rating_events", events)
+    got = {(r.user_id, r.movie_id): r.seq for r in queries.q_merge_rated(spark, "own rows").collect()}
+    last = {(u, m): 10 * y + m for y in (1995, 1996, 1997, 1998) for u in range(6) for m in range(3) if (u + y) % 4}
+    assert got == last
+    assert seen.value == sum(1 for y in (1995, 1996, 1997, 1998) for u in range(6) for m in range(3) if (u + y) % 4)
+
+
 def test_t6_year_comes_from_metadata_and_keys_availability(spark):
     ml = spark.createDataFrame([(1, "Heat (1995)", "Action")], "movieId long, title string, genres string")
     links = spark.createDataFrame([(1, "tt1", 862.0)], "movieId long, imdbId string, tmdbId double")
