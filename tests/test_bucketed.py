@@ -56,3 +56,41 @@ def test_buckets_join_and_group_without_exchange(spark, sides, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert "Exchange" in plain
+
+
+@pytest.mark.parametrize("hot_rows", [1, 100, 10_000])
+def test_rows_are_made_where_they_lie(spark, sides, tmp_path, hot_rows):
+    left, right = sides
+    twice = left.unionByName(left)
+    a = write_bucketed(twice, str(tmp_path / "a"), "k", 4, ["k", "v"], hot_rows=hot_rows,
+                       then=lambda part: part.join(right, "k", "left_semi").dropDuplicates(["k", "v"]))
+    want = rows(left.join(right, "k", "left_semi").distinct())
+    assert rows(a.files()) == rows(a.all_rows()) == want
+    assert rows(write_bucketed(left, str(tmp_path / "b"), "k", 4, hot_rows=hot_rows).files()) == rows(left)
+
+
+def test_ratings_are_read_once_for_stats_edges_and_layout(spark):
+    from cinegraph.plans.catalog import Catalog
+    seen = spark.sparkContext.accumulator(0)
+    given = [(u, m, 1.0 + (u + m) % 5) for m in range(1, 6) for u in range(m, 9)] + [(8, 1, 5.0), (8, 1, 5.0), (3, 99, 4.0), (1, None, 2.0)]
+
+    def counted(user):
+        seen.add(1)
+        return user
+
+    class Inputs:
+        def ml_ratings(self):
+            df = spark.createDataFrame(given, "userId long, movieId long, rating double")
+            return df.withColumn("userId", F.udf(counted, "long")("userId"))
+
+        def ml_movies(self): return spark.createDataFrame([(m, f"M{m}", "Drama") for m in range(1, 6)], "movieId long, title string, genres string")
+        def ml_links(self): return spark.createDataFrame([(m, f"tt{m}", 100.0 + m) for m in range(1, 6)], "movieId long, imdbId string, tmdbId double")
+        def ext_meta(self): return spark.createDataFrame([(str(100 + m), "x", "1990-01-01") for m in range(1, 6)], "id string, title string, release_date string")
+
+    c = Catalog(spark, inputs=Inputs())
+    edges = {(u, m, r) for u, m, r in given if m is not None and m < 6}
+    assert sorted(tuple(r) for r in c.rated().select("user_id", "movie_id", "rating").collect()) == sorted(edges)
+    assert {r.movie_id: r.rating_count for r in c.movies().collect()} == {m: sum(x[1] == m for x in given) for m in range(1, 6)}
+    assert c.ratings().count() == sum(x[1] is not None and x[1] < 6 for x in given)
+    assert rows(c.by_movie("rated").all_rows()) == rows(c.rated())
+    assert seen.value == len(given)
