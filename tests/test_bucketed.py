@@ -69,28 +69,31 @@ def test_rows_are_made_where_they_lie(spark, sides, tmp_path, hot_rows):
     assert rows(write_bucketed(left, str(tmp_path / "b"), "k", 4, hot_rows=hot_rows).files()) == rows(left)
 
 
-def test_ratings_are_read_once_for_stats_edges_and_layout(spark):
+def test_lines_are_joined_once_for_stats_edges_and_tags(spark, tmp_path, monkeypatch):
     from cinegraph.plans.catalog import Catalog
-    seen = spark.sparkContext.accumulator(0)
-    given = [(u, m, 1.0 + (u + m) % 5) for m in range(1, 6) for u in range(m, 9)] + [(8, 1, 5.0), (8, 1, 5.0), (3, 99, 4.0), (1, None, 2.0)]
-
-    def counted(user):
+    from cinegraph.sources import adapters
+    lines = [(o, p, n, float(n), "R") for o in range(8) for p in range(1, 4) for n in (1, 4)] + [(99, 1, 1, 1.0, "R"), (1, None, 2, 2.0, "A")]
+    tables = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string"),
+        "orders": spark.createDataFrame([(o, 10 + o // 2, "1-URGENT") for o in range(8)], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "part": spark.createDataFrame([(p, f"p{p}", "B", "T", p, 9.0) for p in range(1, 4)],
+                                      "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "documents": spark.createDataFrame([(1, "text")], "doc_id long, text string"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen, plain = spark.sparkContext.accumulator(0), adapters.rating_lines
+
+    def counted(q):
         seen.add(1)
-        return user
-
-    class Inputs:
-        def ml_ratings(self):
-            df = spark.createDataFrame(given, "userId long, movieId long, rating double")
-            return df.withColumn("userId", F.udf(counted, "long")("userId"))
-
-        def ml_movies(self): return spark.createDataFrame([(m, f"M{m}", "Drama") for m in range(1, 6)], "movieId long, title string, genres string")
-        def ml_links(self): return spark.createDataFrame([(m, f"tt{m}", 100.0 + m) for m in range(1, 6)], "movieId long, imdbId string, tmdbId double")
-        def ext_meta(self): return spark.createDataFrame([(str(100 + m), "x", "1990-01-01") for m in range(1, 6)], "id string, title string, release_date string")
-
-    c = Catalog(spark, inputs=Inputs())
-    edges = {(u, m, r) for u, m, r in given if m is not None and m < 6}
-    assert sorted(tuple(r) for r in c.rated().select("user_id", "movie_id", "rating").collect()) == sorted(edges)
-    assert {r.movie_id: r.rating_count for r in c.movies().collect()} == {m: sum(x[1] == m for x in given) for m in range(1, 6)}
-    assert c.ratings().count() == sum(x[1] is not None and x[1] < 6 for x in given)
+        return q
+
+    monkeypatch.setattr(adapters, "rating_lines", lambda *a: plain(*a).withColumn("q", F.udf(counted, "int")("q")))
+    c = Catalog(spark, str(tmp_path))
+    given = [(10 + o // 2, p, min(10, 1 + (n - 1) % 5 + 2 * (p % 6)) / 2) for o in range(8) for p in range(1, 4) for n in (1, 4)]
+    assert sorted(tuple(r) for r in c.rated().select("user_id", "movie_id", "rating").collect()) == sorted(set(given))
+    assert c.ratings().count() == len(given) == 48
+    assert {r.movie_id: r.rating_count for r in c.movies().collect()} == {1: 16, 2: 16, 3: 16}
+    assert rows(c.movie_tags()) == [(1, "urgent-r-1", 16), (2, "urgent-r-e", 16), (3, "urgent-r-0", 16)]
     assert rows(c.by_movie("rated").all_rows()) == rows(c.rated())
-    assert seen.value == len(given)
+    assert seen.value == len(given) + 1
