@@ -83,3 +83,34 @@ def test_ties_copies_and_few_vectors(spark, tmp_path):
         ann.fit(same.limit(0), 2, 2)
     with pytest.raises(ValueError):
         ann.fit(same, 2, 3)
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+@pytest.mark.parametrize("scale", [1.0, 1e20, 1e40])
+def test_few_codes_are_looked_up_and_none_of_the_best_is_missed(copies, scale):
+    rng = np.random.default_rng(3)
+    words, q = np.repeat(rng.normal(size=(4000 // copies, 8)) * scale, copies, axis=0), rng.normal(size=(9, 8))
+    exact = q @ words.T
+    with np.errstate(over="ignore"):
+        rough = words.astype(np.float32)
+    row, at = ann._may_reach(q, np.zeros(9), rough, np.linalg.norm(words, axis=1).max(), 20)
+    for i in range(9):
+        assert set(at[row == i]) >= set(np.flatnonzero(exact[i] >= np.sort(exact[i])[-20]))
+    # past single precision all are looked up
+    assert len(row) == 9 * 4000 if scale > 1e30 else len(row) < 9 * 120
+
+
+def test_probing_does_not_repeat_vectors_in_python(spark, tmp_path):
+    _, vdf = vector_table(spark)
+    model = ann.fit(vdf, 6, 2, 8, sample=60)
+    probed = ann.probes(asked(vdf), model, 4)
+    plan = probed._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "MapInPandas" not in plan
+    assert probed.schema.simpleString() == "struct<query_id:bigint,q_vec:array<float>,cell:int,base:double>"
+    q = asked(vdf, 3).collect()
+    got = {(r.query_id, r.cell): r.base for r in probed.where("query_id < 3").collect()}
+    for r in q:
+        scores = np.array(r.embedding) @ model.centers.T
+        best = np.argsort(-scores)[:4]
+        assert all(abs(got.pop((r.query_id, c)) - scores[c]) < 1e-9 for c in best)
+    assert not got
