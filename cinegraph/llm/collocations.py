@@ -1,10 +1,11 @@
 """Phrase collocation mining from count streams in prefix and suffix order.
 
-Counting: words are counted first; then phrases of two words of which both are frequent enough;
-then longer ones all of whose two-word parts are. A phrase can't occur more often than its parts,
-so none is missed. What is frequent goes to the tasks as a bit set of bounded size, which lets
-a few others by; the counts decide. A task keeps a bounded block of counts, and sends it on in
-sorted order.
+Counting: words are counted first; then the 64-bit hashes of phrases of two words of which both are
+frequent enough; then the phrases themselves, of two words whose hash is frequent enough and of
+more all of whose two-word parts are. A phrase can't occur more often than its parts, nor its hash
+less often than itself, so none is missed. What is frequent goes to the tasks as a bit set of
+bounded size, which lets a few others by; the counts of phrases decide. A task keeps a bounded
+block of counts, and sends it on in sorted order.
 
 Scoring: each candidate is cut after each of its words. The stream of cuts in prefix order, by
 the part before the cut, is merge-joined with the counts in that order: the left counts. The
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import SLICE_ROWS, BoundedCache, fixed_bitmap, in_bitmap, keep_only, map_slices, materialise, read_table
+from cinegraph.llm.common import SLICE_ROWS, fixed_bitmap, in_bitmap, keep_only, map_slices, materialise, read_table
 from cinegraph.operators.joins import bounded_broadcast, count_upto, top_k
 
 MIN_COUNT = 100
@@ -42,6 +44,8 @@ TOP = 2000
 NO_LANG = "und"
 # Counts that a task holds before it sends them on.
 HELD_PHRASES = 300_000
+# Hashes that a task holds before it counts them and sends the counts on.
+HELD_HASHES = 1 << 21
 # Bits of a bit set: 16 for each frequent phrase, at most 2**27 (16 MB).
 BITS_PER_PHRASE, MAX_BITS = 16, 27
 # Languages whose totals may be broadcast.
@@ -49,7 +53,6 @@ MAX_LANGS = 100_000
 
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d", b"\n" * 9)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_HASHES = BoundedCache(xxhash.xxh64_intdigest, 200_000)
 
 
 def pieces(text: str | None) -> list[list[bytes]]:
@@ -59,17 +62,26 @@ def pieces(text: str | None) -> list[list[bytes]]:
 
 
 def _hashes(words: list[bytes], lang: str) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)) ^ np.uint64(xxhash.xxh64_intdigest(lang))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) ^ np.uint64(xxhash.xxh64_intdigest(lang))
 
 
 def _pair_hashes(h: np.ndarray) -> np.ndarray:
     return (h[:-1] * _BASE + h[1:]) * _BASE
 
 
+def _source(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[str, str | None]]]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            yield zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def _counted(docs: DataFrame, lang_col: str, text_col: str, phrases: Callable[[list, str], Iterator]) -> DataFrame:
     """(lang, phrase, a): sums of what ``phrases`` finds in each text, counted in bounded blocks."""
-    source = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
-
     def send(held: dict) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             names = sorted(counts)
@@ -77,75 +89,92 @@ def _counted(docs: DataFrame, lang_col: str, text_col: str, phrases: Callable[[l
                                    pa.array([counts[p] for p in names], pa.int64())], names=["lang", "phrase", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only(_HASHES)
+        keep_only()
         held: dict[str, Counter] = {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    counts = held.setdefault(lang, Counter())
-                    for found in phrases(pieces(text), lang):
-                        counts.update(found)
-                if sum(map(len, held.values())) >= HELD_PHRASES:
-                    yield from send(held)
-                    held.clear()
+        for rows in _slices(batches):
+            for lang, text in rows:
+                counts = held.setdefault(lang, Counter())
+                for found in phrases(pieces(text), lang):
+                    counts.update(found)
+            if sum(map(len, held.values())) >= HELD_PHRASES:
+                yield from send(held)
+                held.clear()
         yield from send(held)
 
-    return source.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    return _source(docs, lang_col, text_col).mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+
 
+def _bit_set(hashes: DataFrame) -> bytes:
+    """Bit set of the hashes (column ``h``) of what is frequent."""
+    bits = min(MAX_BITS, max(10, int(hashes.count() * BITS_PER_PHRASE).bit_length()))
+    return fixed_bitmap(hashes, "h", bits)
 
-def _bit_set(frequent: DataFrame, hashed: Callable[[list, str], int]) -> bytes:
-    """Bit set of the hashes of frequent phrases."""
+
+def _word_hashes(words: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep_only(_HASHES)
-        out = [hashed(p.encode("utf-8").split(b" "), lang) for lang, p in
+        keep_only()
+        out = [_hashes([w.encode("utf-8")], lang)[0] for lang, w in
                zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         return pa.record_batch([pa.array(np.array(out, np.uint64).view(np.int64))], names=["h"])
 
-    bits = min(MAX_BITS, max(10, int(frequent.count() * BITS_PER_PHRASE).bit_length()))
-    return fixed_bitmap(map_slices(frequent.select("lang", "phrase"), run, "h long"), "h", bits)
+    return map_slices(words.select("lang", "phrase"), run, "h long")
 
 
 def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, phrase, a) of every word."""
-    return _counted(docs, lang_col, text_col, lambda parts, lang: iter(parts))
+    return _counted(docs, lang_col, text_col, lambda parts, lang: iter([chain.from_iterable(parts)]))
 
 
 def _joined(parts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
     """All words of a text, and whether the word after each lies in the same piece."""
-    words = [w for part in parts for w in part]
+    words = list(chain.from_iterable(parts))
     same = np.ones(len(words), bool)
     same[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) - 1] = False
     return words, same
 
 
-def pair_counts(docs: DataFrame, words: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, a) of phrases of two words that are both in ``words``; a few others may be among them."""
-    spark = docs.sparkSession
-    sieve = spark.sparkContext.broadcast(_bit_set(words, lambda p, lang: int(_hashes(p, lang)[0])))
+def pair_hashes(docs: DataFrame, words: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(h, a): how often each hash occurs among phrases of two words that are both in ``words``; a few others may be
+    among them. Phrases that share a hash are counted as one, so ``a`` is at least each phrase's count."""
+    sieve = docs.sparkSession.sparkContext.broadcast(_bit_set(_word_hashes(words)))
 
-    def find(parts: list, lang: str) -> Iterator:
-        if parts:
-            flat, same = _joined(parts)
-            hot = in_bitmap(np.frombuffer(sieve.value, np.uint64), _hashes(flat, lang))
-            yield [flat[i] + b" " + flat[i + 1] for i in np.flatnonzero(hot[:-1] & hot[1:] & same[:-1]).tolist()]
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "a"])
 
-    return _counted(docs, lang_col, text_col, find)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        hot_words, held, n = np.frombuffer(sieve.value, np.uint64), [], 0
+        for rows in _slices(batches):
+            for lang, text in rows:
+                if parts := pieces(text):
+                    flat, same = _joined(parts)
+                    h = _hashes(flat, lang)
+                    hot = in_bitmap(hot_words, h)
+                    held.append(_pair_hashes(h)[hot[:-1] & hot[1:] & same[:-1]])
+                    n += len(held[-1])
+                if n >= HELD_HASHES:
+                    yield send(held)
+                    held, n = [], 0
+        if held:
+            yield send(held)
+
+    return _source(docs, lang_col, text_col).mapInArrow(run, "h long, a long").groupBy("h").agg(F.sum("a").alias("a"))
 
 
 def longer_counts(docs: DataFrame, pairs: DataFrame, max_words: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, a) of longer phrases all of whose two-word parts are in ``pairs``; a few others may be among them."""
-    spark = docs.sparkSession
-    sieve = spark.sparkContext.broadcast(_bit_set(pairs, lambda p, lang: int(_pair_hashes(_hashes(p, lang))[0])))
+    """(lang, phrase, a) of phrases of two words and more all of whose two-word parts have their hash in ``pairs``
+    (column ``h``); a few others may be among them."""
+    sieve = docs.sparkSession.sparkContext.broadcast(_bit_set(pairs.select("h")))
 
     def find(parts: list, lang: str) -> Iterator:
         if parts:
             flat, same = _joined(parts)
             h = _hashes(flat, lang)
-            hot = in_bitmap(np.frombuffer(sieve.value, np.uint64), _pair_hashes(h)) & same[:-1]
-            run = hot
-            for n in range(3, max_words + 1):
-                run = run[:-1] & hot[n - 2:]
+            run = hot = in_bitmap(np.frombuffer(sieve.value, np.uint64), _pair_hashes(h)) & same[:-1]
+            for n in range(2, max_words + 1):
+                if n > 2:
+                    run = run[:-1] & hot[n - 2:]
                 at = np.flatnonzero(run).tolist()
                 if not at:
                     break
@@ -161,11 +190,9 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     totals = materialise(words.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     enough = F.col("a") >= min_count
     frequent = materialise(words.where(enough), "frequent-words")
-    pairs = materialise(pair_counts(docs, frequent, lang_col, text_col).where(enough), "frequent-pairs")
-    counts = frequent.unionByName(pairs)
-    if max_words > 2:
-        counts = counts.unionByName(materialise(
-            longer_counts(docs, pairs, max_words, lang_col, text_col).where(enough), "frequent-phrases"))
+    pairs = materialise(pair_hashes(docs, frequent, lang_col, text_col).where(enough), "frequent-pairs")
+    longer = materialise(longer_counts(docs, pairs, max_words, lang_col, text_col).where(enough), "frequent-phrases")
+    counts = frequent.unionByName(longer)
     return counts, totals
 
 

@@ -196,6 +196,22 @@ def test_collocations_match_brute_force(spark, odd_rows):
         assert got == slow_collocations(docs, 6, size, top) and got
 
 
+def test_phrases_of_two_words_are_counted_by_hash_first(spark, monkeypatch):
+    docs = [("en", "red car. red car, a b"), ("de", "red car"), ("en", "red car"), ("en", "one red car"), ("en", None)]
+    df = spark.createDataFrame(docs, "lang string, text string")
+    hashes = collocations.pair_hashes(df, collocations.word_counts(df).where("a >= 3"))
+    assert sorted(r.a for r in hashes.collect()) == [4]
+    assert hashes.schema.simpleString() == "struct<h:bigint,a:bigint>"
+    # phrases are told apart whatever hashes come along
+    every = collocations.pair_hashes(df, collocations.word_counts(df))
+    monkeypatch.setattr(collocations, "HELD_HASHES", 2)
+    assert sorted(every.collect()) == sorted(collocations.pair_hashes(df, collocations.word_counts(df)).collect())
+    counts = sorted(tuple(r) for r in collocations.longer_counts(df, every, 3).where("a >= 2 or lang = 'de'").collect())
+    assert counts == [("de", "red car", 1), ("en", "red car", 4)]
+    want = slow_collocations(docs, 2, 3, None)
+    assert sorted(tuple(r) for r in collocations.collocations(df, min_count=2, max_words=3, top=None).collect()) == want and want
+
+
 def test_collocations_empty_and_clashing(spark):
     kind = "lang string, text string, phrase string, a long, n long, k long"
     assert collocations.collocations(spark.createDataFrame([], kind)).count() == 0
