@@ -5,12 +5,14 @@ neighbours are what the merges make of theirs. So encodings can be read from lef
 every prefix of a piece has one encoding, and it ends in the one token that fits the token
 before it. The transducer compiles this from the merge ranks, when a text first asks for it:
 
-* A hypothesis is a place where a token may start: the tokens since the last one emitted, and
-  the bytes read since that place, a node of the trie of tokens.
+* A hypothesis is a place where a token may start: the token before it, and the bytes read
+  since that place, a node of the trie of tokens.
 * A state is the set of hypotheses alive. A byte extends each, ends a token where the merges
-  agree, and drops those whose bytes begin no token that could stand there.
-* Tokens that all hypotheses share are emitted. No hypothesis is older than the longest token,
-  so what a state holds back, the lookahead, is bounded by the vocabulary and not by the piece.
+  agree, and drops those whose bytes begin no token that could stand there. The transition
+  emits the token that ended: the last one of what was read.
+* The last token of a piece, the last one of what is left of it, and so on back to the start are
+  the piece's tokens. No hypothesis is older than the longest token, and no tokens further back
+  are part of a state, so pieces that go on alike share their states.
 
 States and transitions are kept for the worker's life, up to a bound; beyond it they are
 forgotten and compiled anew. A piece of any length takes time in proportion to its length.
@@ -88,10 +90,10 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # a state: the last token emitted (-1: none) and its hypotheses (tokens since, trie node since), the oldest first
-        self._states: list[tuple] = [(-1, (((), 0),))]
-        self._numbers: dict[tuple, int] = {self._states[0]: 0}
-        self._next: dict[int, tuple[int, tuple]] = {}  # by state << 8 | byte
+        # a state: its hypotheses (the token before, none at the piece's start; trie node since), the oldest first
+        self._states: list[tuple] = [(0, (((), 0),))]
+        self._numbers: dict[tuple, int] = {self._states[0][1]: 0}
+        self._next: dict[int, tuple[int, int]] = {}  # by state << 8 | byte
 
     def _edges(self, token: int) -> tuple[list, list] | None:
         """The parts at the left and at the right end of a token while the merges build it, each
@@ -161,38 +163,37 @@ class Transducer:
             found = self._alive[key] = any(self._apart(before, t) for t in self._sorted[low:high])
         return found
 
-    def _compile(self, state: int, byte: int) -> tuple[int, tuple]:
-        """The transition (next state, tokens emitted) of a state under a byte."""
-        last, hypotheses = self._states[state]
-        child, token_at = self._child, self._token
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition (next state, token ended) of a state under a byte."""
+        child, token_at, low, high = self._child.get, self._token, self._low, self._high
+        fits, goes_on = self._fits.get, self._alive.get
         alive, ended = [], None
-        for tokens, node in hypotheses:
-            node = child.get(node << 8 | byte)
+        for tokens, node in self._states[state][1]:
+            node = child(node << 8 | byte)
             if node is None:
                 continue
-            before = tokens[-1] if tokens else last
+            before = tokens[0] if tokens else -1
             if ended is None:
                 token = token_at[node]
-                if token >= 0 and self.fits(before, token):
-                    ended = (*tokens, token)
-            if self.may_go_on(before, node):
-                alive.append((tokens, node))
+                if token >= 0:
+                    fit = fits(before << 32 | token)
+                    if self.fits(before, token) if fit is None else fit:
+                        ended = token
+            if low[node] < high[node]:
+                on = goes_on(before << 32 | node)
+                if self.may_go_on(before, node) if on is None else on:
+                    alive.append((tokens, node))
         if ended is None:
             raise ValueError("a prefix without an encoding: the ranks are not those of merges")
-        alive.append((ended, 0))
-        # what all hypotheses share is emitted
-        first, n = alive[0][0], 0
-        while n < len(first) and all(len(tokens) > n and tokens[n] == first[n] for tokens, _ in alive):
-            n += 1
-        name = (first[n - 1], tuple([(tokens[n:], node) for tokens, node in alive])) if n else (last, tuple(alive))
-        found = self._next[state << 8 | byte] = (self._number(name), first[:n])
+        alive.append(((ended,), 0))
+        found = self._next[state << 8 | byte] = (self._number(tuple(alive)), ended)
         return found
 
-    def _number(self, name: tuple) -> int:
-        number = self._numbers.get(name)
+    def _number(self, places: tuple) -> int:
+        number = self._numbers.get(places)
         if number is None:
-            number = self._numbers[name] = len(self._states)
-            self._states.append(name)
+            number = self._numbers[places] = len(self._states)
+            self._states.append((number, places))
         return number
 
     def encode(self, piece: bytes) -> list[int]:
@@ -200,22 +201,26 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        out: list[int] = []
-        state = 0
+        ended: list[int] = []
+        state, known = 0, self._next.get
         for byte in piece:
-            step = self._next.get(state << 8 | byte)
+            step = known(state << 8 | byte)
             if step is None:
                 if len(self._next) >= self.max_transitions:
                     # full: start with an empty table, from the state reached
-                    reached = self._states[state]
+                    reached = self._states[state][1]
                     self._reset()
-                    state = self._number(reached)
+                    state, known = self._number(reached), self._next.get
                 step = self._compile(state, byte)
             state = step[0]
-            if step[1]:
-                out += step[1]
-        # of the hypotheses, the youngest is the one that ends here
-        return out + list(self._states[state][1][-1][0])
+            ended.append(step[1])
+        out, at, bytes_of = [], len(piece), self.bytes_of
+        while at:
+            token = ended[at - 1]
+            out.append(token)
+            at -= len(bytes_of[token])
+        out.reverse()
+        return out
 
 
 class StreamDecoder:

@@ -131,6 +131,15 @@ def test_transducer_holds_back_a_bounded_number_of_tokens(library):
     assert max(len(tokens) for _, hyps in made._states for tokens, _ in hyps) <= longest
 
 
+def test_states_hold_no_tokens_but_the_one_before(library):
+    ranks, enc = library
+    made, rnd, tokens = bpe.Transducer(ranks), random.Random(8), list(ranks)
+    for _ in range(300):
+        piece = b"".join(rnd.choice(tokens) for _ in range(6))
+        assert made.encode(piece) == enc._encode_single_piece(piece)
+    assert max(len(tokens) for _, hyps in made._states for tokens, _ in hyps) == 1
+
+
 def test_bpe_round_trip_equals_library(make_docs, odd_rows, library):
     texts = odd_rows + [(20, "Zażółć 中文字 👩‍👩‍👧 <|endoftext|> it's 12345 \t\n\n  x"), (20, "again"), (21, "a" * 20000), (22, " " * 5000)]
     got = bpe.decode(bpe.encode(make_docs(texts))).collect()
